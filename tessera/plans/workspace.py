@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,10 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.serial = 0
+        # An iterative operator runs many executions; each one's shuffle files go when it ends.
+        for name in CLEANUP:
+            if spark.conf.isModifiable(name):
+                spark.conf.set(name, "true")
         path = self._path(self.root)
         self._fs(path).deleteOnExit(path)
 
