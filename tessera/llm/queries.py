@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import copies, groups
+from tessera.llm import copies, groups, lookalike, nearcopy
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +24,21 @@ def p2_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return copies.collapsed(table(spark, sf, "evidence"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.found(table(spark, sf, "evidence"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return nearcopy.found(table(spark, sf, "evidence"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_collapsed": p2_collapsed,
+        "p5_found": p5_found,
+        "p6_found": p6_found,
     }
 
 
