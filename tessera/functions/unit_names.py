@@ -67,4 +67,4 @@ def spellings() -> dict[str, tuple[str, float, float]]:
 def text_pattern() -> str:
     """A unit at the start of a running text, as a Java pattern over ``plain_marks`` text."""
     names = sorted((n for n in spellings() if n not in NOT_IN_TEXT), key=lambda n: (-len(n), n))
-    return r"^ *(" + "|".join(re.sub(r"([.()/*])", r"\\\1", n) for n in names) + r")(?![\p{L}\p{N}])"
+    return r"^ *(" + "|".join(re.sub(r"([.()/*])", r"\\\1", n) for n in names) + r")(?![\p{L}\p{N}]|/\p{L})"

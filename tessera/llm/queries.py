@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import copies, groups, lookalike, nearcopy
+from tessera.llm import copies, groups, lookalike, nearcopy, packing, tokens
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,14 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return nearcopy.found(table(spark, sf, "evidence"))
 
 
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.ids(table(spark, sf, "documents"))
+
+
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(table(spark, sf, "documents"), table(spark, sf, "pack_limits"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -39,6 +47,8 @@ def queries() -> dict[str, Query]:
         "p2_collapsed": p2_collapsed,
         "p5_found": p5_found,
         "p6_found": p6_found,
+        "p7_ids": p7_ids,
+        "p8_packed": p8_packed,
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import references
+from tessera.operators import quantities, references
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,15 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     return references.report(table(spark, sf, "sources"), table(spark, sf, "evidence"), table(spark, sf, "near_duplicates"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quantities.found(table(spark, sf, "quantities"), table(spark, sf, "evidence"), table(spark, sf, "canonical_units"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p3_found": p3_found,
         "p3_report": p3_report,
+        "p4_found": p4_found,
     }
 
 

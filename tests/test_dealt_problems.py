@@ -1,0 +1,55 @@
+"""Problems 4, 7 and 8: registered, and right on small rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from tessera.llm import packing, tokens
+from tessera.operators import quantities
+from tessera.plans.session import local_session
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return local_session(2, 2, "1g")
+
+
+def test_registered():
+    assert {"p4_found", "p7_ids", "p8_packed"} <= set(__spark_entry__.queries())
+
+
+def test_units(spark):
+    columns = ("quantity_id string, evidence_id string, raw_text string, value_text string, value double, value_min double, value_max double, "
+               "unit_raw string, parameter string, flags array<string>, char_end int")
+    q = spark.createDataFrame([
+        ("a", "E", "315 °F", "315", 315.0, None, None, "°F", None, [], 6),
+        ("b", "E", "13,507.0 mbar", "13,507.0", None, None, None, " MBAR.", "pressure", [], 13),
+        ("c", "E", "25 3/4 mm", "25 3/4", None, None, None, "", None, ["fraction"], 9),
+        ("d", "E", "15", "15", 15.0, None, None, None, None, [], 9),
+        ("e", "E", "3–5 bar", "3–5", None, 3.0, 5.0, "bar", None, [], 9),
+        ("f", "E", "1 360 hPa", "1 360", None, None, None, None, None, [], 9),
+        ("g", "E", "7 pcs", "7", 7.0, None, None, "pcs", None, [], 9),
+        ("h", "E", "0,61 gal (UK)", "0,61", None, None, None, "gal (UK)", None, ["decimal_comma"], 9)], columns)
+    e = spark.createDataFrame([("E", "torque 15 in-lb, then")], "evidence_id string, text string")
+    units = spark.createDataFrame([("temperature", "degC"), ("pressure", "bar"), ("length", "mm"), ("torque", "N*m"), ("volume", "L")], "parameter string, canonical_unit string")
+    got = {r["quantity_id"]: (r["canonical_unit"], r["canonical_milli"]) for r in quantities.found(q, e, units).collect()}
+    assert got == {"a": ("degC", 157222), "b": ("bar", 13507), "c": ("mm", 25750), "d": ("N*m", 1695), "f": ("bar", 1360), "h": ("L", 2773)}
+
+
+def test_ids(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "Seal <|endoftext|> 油")], "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in tokens.ids(rows).collect()}
+    assert got[1] == [] and got[2] == [] and tokens.encoder().decode(got[3]) == "Seal <|endoftext|> 油" and max(got[3]) < 50256
+
+
+def test_packing_holds_everything_once(spark):
+    texts = [(i, " seal" * (i % 37)) for i in range(300)] + [(900, None), (901, " seal" * 1000)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    out = packing.packed(rows, spark.createDataFrame([(1, 64), (2, 512)], "limit_id int, capacity_tokens int"))
+    wanted = sum(i % 37 for i in range(300)) + 1000
+    for limit, capacity in ((1, 64), (2, 512)):
+        one = out.where(F.col("limit_id") == limit)
+        full = one.groupBy("container_id").agg(F.sum("tokens").alias("t")).collect()
+        assert sum(r["t"] for r in full) == wanted and max(r["t"] for r in full) <= capacity
+        assert len(full) <= -(-wanted // capacity) + 2
+        assert one.where("doc_id < 900").groupBy("doc_id").count().where("count > 1").count() == 0
