@@ -1,0 +1,41 @@
+"""Problem 6: pairs against brute force, near the threshold and in hot buckets."""
+
+import numpy as np
+import pytest
+
+from tessera.llm import nearcopy
+from tessera.plans.session import local_session
+from tessera.plans.workspace import Workspace
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return local_session(2, 2, "2g")
+
+
+def sets_of(seed: int, bases: int, size: int, edits: int) -> dict[int, set[int]]:
+    """Bases of common elements with a few rare ones, each with a copy whose rare ones are exchanged."""
+    rng, out = np.random.default_rng(seed), {}
+    for i in range(bases):
+        base = set((rng.choice(60, size - edits - 2, replace=False) + 1).tolist()) | set(rng.integers(10**6, 2 * 10**9, edits + 2).tolist())
+        rare = sorted(x for x in base if x >= 10**6)[:edits]
+        out[2 * i + 1], out[2 * i + 2] = base, base - set(rare) | set(rng.integers(10**6, 2 * 10**9, edits).tolist())
+    return out
+
+
+def brute(sets: dict[int, set[int]]) -> set[tuple[int, int]]:
+    ids = sorted(sets)
+    return {(a, b) for k, a in enumerate(ids) for b in ids[k + 1:]
+            if 2 * len(sets[a] & sets[b]) >= nearcopy.SIMILARITY * (len(sets[a]) + len(sets[b])) - 1e-9}
+
+
+def joined(spark, sets):
+    alone = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "bag long, elements array<int>")
+    near = nearcopy.near_bags(alone, nearcopy.corpus_signer(alone), Workspace(spark, "test"))
+    return {(r["a"], r["b"]) for r in near.collect()}
+
+
+def test_pairs_whose_rare_words_are_exchanged(spark):
+    sets = sets_of(1, 200, 40, 2)
+    wanted = brute(sets)
+    assert len(wanted) >= 200 and joined(spark, sets) == wanted
