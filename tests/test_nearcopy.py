@@ -39,3 +39,18 @@ def test_pairs_whose_rare_words_are_exchanged(spark):
     sets = sets_of(1, 200, 40, 2)
     wanted = brute(sets)
     assert len(wanted) >= 200 and joined(spark, sets) == wanted
+
+
+def test_bucket_size_costs_no_pairs(spark, monkeypatch):
+    sets = sets_of(2, 60, 40, 5)
+    small = joined(spark, sets)
+    monkeypatch.setattr(nearcopy, "HOT_BUCKET", 2)
+    monkeypatch.setattr(nearcopy, "SAMPLE", 1)
+    assert joined(spark, sets) == small
+
+
+def test_blocks_all_meet():
+    bag, many = np.arange(50, dtype=np.int64), np.full(50, 4)
+    row, key = nearcopy.blocks(np.full(50, 7, np.int64), bag, many)
+    held = [set(key[row == i].tolist()) for i in range(50)]
+    assert all(held[i] & held[j] for i in range(50) for j in range(50))
