@@ -54,3 +54,13 @@ def test_blocks_all_meet():
     row, key = nearcopy.blocks(np.full(50, 7, np.int64), bag, many)
     held = [set(key[row == i].tolist()) for i in range(50)]
     assert all(held[i] & held[j] for i in range(50) for j in range(50))
+
+
+def test_weights_do_not_depend_on_partitions(spark):
+    from tessera.llm.nearcopy import corpus_signer, different_sets
+    rows = [(k % 5, 3, [1, 2, 3 + k % 5]) for k in range(40)]
+    weights = []
+    for n in (1, 7):
+        sets = spark.createDataFrame(rows, "bag long, size int, elements array<int>").repartition(n)
+        weights.append(corpus_signer(different_sets(sets)).common)
+    assert weights[0] == weights[1] and len(weights[0]) == 7
