@@ -1,8 +1,10 @@
 """tessera: a Spark-native engine for registers of technical evidence.
 
-Documents become ordered text blocks; blocks become statements, quantities, duplicates,
-conflicts and reports.  Everything is expressed over DataFrames so that Catalyst plans it;
-Arrow batches are used only where a rule cannot be written as a column expression.
+What exists: groups, copies, look-alikes, near-duplicates, token ids and packing of training data
+(``llm``), orphan references and unit conversion (``operators``).  What does not: the reference's
+own operators (blocks, statements, conflicts, reports, review, audit), readers and writers, streaming
+and a pipeline of stages.  Everything is expressed over DataFrames so that Catalyst plans it; Arrow
+batches are used only where a rule cannot be written as a column expression.
 """
 
 __version__ = "0.1.0"

@@ -1 +1 @@
-"""Readers and writers."""
+"""Empty: readers and writers are not done."""

@@ -1 +1 @@
-"""Structured Streaming operators."""
+"""Empty: Structured Streaming operators are not done."""
