@@ -9,7 +9,7 @@ which the whole token can be spelled gives the spelling; where there is none, th
 letters of its own does and the rest stays.
 
 Visible differences stay: letter case, punctuation, accents, plain spaces, tabs and line breaks,
-raised and lowered digits.  Joiners stay in tokens of scripts that they shape.
+raised and lowered digits.  Joiners stay beside letters of scripts that they shape.
 
 Defined cases: null stays null and looks like nothing else; an empty text looks like itself; a
 record delivered several times is one, with the display text of its last delivery; equal strings
@@ -49,9 +49,9 @@ for _s, (_other, _latin) in LOOKS.items():
 
 _INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, 0xFEFF, 0x200B, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2065),
               *range(0x2066, 0x2070), *range(0xFE00, 0xFE10)]
-_JOINERS = {0x200C: None, 0x200D: None}
 #: Letters that joiners shape: Arabic to Mongolian.
-_SHAPED = re.compile("[؀-ࣿऀ-႟ក-᢯]")
+_SHAPED = "؀-ࣿऀ-႟ក-᢯"
+_LOOSE_JOINERS = re.compile(f"(?<![{_SHAPED}\u200c\u200d])[\u200c\u200d]+(?![{_SHAPED}\u200c\u200d])")
 _FORMS = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>"}
 
 
@@ -122,8 +122,8 @@ def look(text: str | None) -> str | None:
     if text is None or text.isascii():
         return text
     t = text.translate(_FORM_TABLE)
-    if ("‌" in t or "‍" in t) and not _SHAPED.search(t):
-        t = t.translate(_JOINERS)
+    if "\u200c" in t or "\u200d" in t:
+        t = _LOOSE_JOINERS.sub("", t)
     if not t.isascii():
         t = unicodedata.normalize("NFC", t)
         if _OTHER_SCRIPT.search(t):

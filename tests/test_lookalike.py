@@ -1,0 +1,14 @@
+"""Problem 5: joiners are decided by their neighbours, not by the whole text."""
+
+from tessera.llm.lookalike import look
+
+
+def test_joiner_in_a_latin_word_beside_arabic():
+    arabic = "\u0645\u06cc\u200c\u062e"
+    assert look("va\u200clve " + arabic) == look("valve " + arabic)
+    assert look("va\u200d\u200clve " + arabic) == look("valve " + arabic)
+
+
+def test_joiners_that_shape_stay():
+    arabic = "\u0645\u06cc\u200c\u062e"
+    assert look(arabic) == arabic and look(arabic) != look(arabic.replace("\u200c", ""))
