@@ -1,13 +1,14 @@
 """Problem 3: references that lead to no living, registered record.
 
-Two streams of change deltas are summed per key of the table referred to: references (+1 when a
-record refers to the key) and existence (+1 when the key's record is registered, -1 when its last
-state is deleted).  Keys with references and no existence, or whose record came after the first
-reference, are the orphan keys; only the references to those are then looked up.
+The whole tables are counted in one pass, not maintained from change deltas.  Two kinds of counts are
+summed per key of the table referred to: references (1 for each record that refers to the key) and
+existence (registered 1 for the key's record, living 1 unless its last state is deleted, else 0).
+Keys with references and no existence, or whose record came after the first reference, are the
+orphan keys; only the references to those are then looked up.
 
-The ledger is a plain sum, so batches merge by adding (``merge_ledgers``), in any order.  Hot keys
-(one target that a third of all rows refer to) are combined before the shuffle and looked up
-through a bounded broadcast.
+Redeliveries are resolved before counting, so a ledger of one batch cannot be added to another's.
+Hot keys (one target that a third of all rows refer to) are combined before the shuffle and looked
+up through a bounded broadcast.
 
 Defined cases: a null or empty id is no reference; a record delivered several times refers once;
 ties of delivery go to the greatest state (so deleted wins over living where it sorts last); empty
@@ -39,7 +40,7 @@ def existence_of(df: DataFrame, target: str, key: str, state: str, created: str,
 
 
 def key_ledger(references: DataFrame, existence: DataFrame) -> DataFrame:
-    """Signed counts per key: refs, registered, living, and the first times of both sides."""
+    """Counts per key: refs, registered, living, and the first times of both sides."""
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("timestamp")
     deltas = references.select("target", "key", F.lit(1).cast("long").alias("d_ref"), zero.alias("d_reg"), zero.alias("d_live"),
                                F.col("created").alias("first_ref"), none.alias("born")).unionByName(
@@ -50,13 +51,6 @@ def key_ledger(references: DataFrame, existence: DataFrame) -> DataFrame:
         F.min("first_ref").alias("first_ref"), F.min("born").alias("born"))
 
 
-def merge_ledgers(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Add a batch's ledger to the standing one; keys whose counts all fall to zero leave it."""
-    both = a.unionByName(b).groupBy("target", "key").agg(
-        *[F.sum(c).alias(c) for c in ("refs", "registered", "living")], F.min("first_ref").alias("first_ref"), F.min("born").alias("born"))
-    return both.where((F.col("refs") != 0) | (F.col("registered") != 0) | (F.col("living") != 0))
-
-
 def orphans(references: DataFrame, ledger: DataFrame, total: int) -> DataFrame:
     """The references to orphan keys with their state."""
     bad = ledger.where((F.col("refs") > 0) & ((F.col("living") <= 0) | (F.col("born") > F.col("first_ref")))).select(
