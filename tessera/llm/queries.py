@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import copies, groups, lookalike, nearcopy, packing, tokens
+from tessera.llm import copies, groups, lookalike, nearcopy, packing, sentences, tokens
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents"), table(spark, sf, "pack_limits"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -49,6 +53,7 @@ def queries() -> dict[str, Query]:
         "p6_found": p6_found,
         "p7_ids": p7_ids,
         "p8_packed": p8_packed,
+        "p9_found": p9_found,
     }
 
 
