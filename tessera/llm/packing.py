@@ -1,119 +1,134 @@
-"""Problem 8: documents in as few containers as possible, best fit decreasing over lengths.
-
-Only lengths matter, and no piece is longer than the capacity: the pieces are counted per length,
-the best-fit-decreasing packing is computed from these counts on the driver (whole runs of equal
-pieces at once, so its work grows with the capacity and not with the data), and each piece finds
-its container from its rank among the pieces of its length.  A text over the capacity is cut into
-full pieces and a rest; each full piece fills a container, the rest is packed with the others.
-
-Defined cases: null texts and texts without tokens take no container and give no row.  start_token
-is the piece's first token in its text, and container_id counts from 0 within a limit.
+"""Problem 8: texts into containers of fixed capacity, in a controlled mixture of their sources.
+
+Deficit round-robin: every window gives each source's queue a quantum of tokens, its target share of
+the window; a queue hands out texts while its deficit lasts and carries the rest of it on to the next
+window.  As a queue's deficit is only ever spent on its own texts, the text whose tokens end at place
+``c`` of its queue is handed out in the first window whose summed quanta reach ``c``; so the windows of
+all texts follow from running sums, and the deficits carried over windows and over partitions are the
+sums of the blocks before.  Queues are cut into blocks of about ``BLOCK_ROWS`` texts, so a source that
+holds a third of all texts never gathers in one task.
+
+Within a window the texts are packed best fit decreasing.  Containers that a window leaves less full
+than ``FULL`` are taken up again: their texts are carried on and packed together with those of
+``CARRY`` windows.  A text is split only above the capacity: into full pieces and a rest.
+
+Without given targets, each source's target is its share of all tokens, so that every window has the
+mixture of the whole and all queues run dry in the last one.  A source without a target (where targets
+are given) has the smallest of them.
+
+Defined cases: null texts and texts without tokens take no container and give no row; a null source is
+a source of its own; start_token is the piece's first token in its text; a doc_id that occurs twice is
+two texts; limits without a positive capacity are left out; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import counts
 from tessera.plans.workspace import Workspace
 
-#: Parts in which the pieces of one length are ranked, so that no length gathers in one task.
-BUCKETS = 64
-
-
-def best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int]], int]:
-    """Runs (pieces before it, its first container, pieces per container) in the order of falling
-    length, and the number of containers.  Equal containers are kept as ranges."""
-    rooms: dict[int, list[tuple[int, int]]] = {}
-    free: list[int] = []
-    runs, placed, used = [], 0, 0
-
-    def put(room: int, first: int, many: int) -> None:
-        if room and many:
-            if room not in rooms:
-                rooms[room] = []
-                insort(free, room)
-            rooms[room].append((first, many))
-
-    for length in sorted(histogram, reverse=True):
-        left = histogram[length]
-        while left:
-            at = bisect_left(free, length)
-            if at < len(free):
-                room = free[at]
-                first, many = rooms[room].pop()
-                if not rooms[room]:
-                    del rooms[room], free[at]
-            else:
-                room, first = capacity, used
-                many = -(-left // (capacity // length))
-                used += many
-            each = room // length
-            full = min(many, left // each)
-            if full:
-                runs.append((placed, first, each))
-                placed, left = placed + full * each, left - full * each
-                put(room - each * length, first, full)
-            first, many = first + full, many - full
-            if left and many:
-                runs.append((placed, first, left))
-                put(room - left * length, first, 1)
-                placed, left, first, many = placed + left, 0, first + 1, many - 1
-            put(room, first, many)
-    return runs, used
-
-
-def _placer(runs: list[tuple[int, int, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    before, first, each = (np.array(x, np.int64) for x in zip(*runs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            position = batch.column("position").to_numpy()
-            at = np.searchsorted(before, position, side="right") - 1
-            container = first[at] + (position - before[at]) // each[at]
-            keep = [batch.column(c) for c in ("doc_id", "start_token", "tokens")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(container)], names=["doc_id", "start_token", "tokens", "container_id"])
-
-    return run
-
-
-def pack(lengths: DataFrame, limit_id: int, capacity: int) -> DataFrame | None:
-    """The pieces of all texts with their containers."""
-    starts = F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(capacity).cast("long"))
-    pieces = lengths.where(F.col("tokens") > 0).select("doc_id", "tokens", F.explode(starts).alias("start_token")).select(
-        "doc_id", "start_token", F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("start_token")).alias("tokens"),
-        F.pmod(F.xxhash64("doc_id", "start_token"), F.lit(BUCKETS)).alias("bucket"))
-    counted = pieces.groupBy("tokens", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()
-    if not counted:
-        return None
-    histogram: dict[int, int] = {}
-    for r in counted:
-        histogram[r["tokens"]] = histogram.get(r["tokens"], 0) + r["n"]
-    runs, _ = best_fit(histogram, capacity)
-    offsets, total = [], 0
-    for r in sorted(counted, key=lambda r: (-r["tokens"], r["bucket"])):
-        offsets.append((r["tokens"], r["bucket"], total))
-        total += r["n"]
-    table = lengths.sparkSession.createDataFrame(offsets, "tokens long, bucket long, before long")
-    rank = F.row_number().over(Window.partitionBy("tokens", "bucket").orderBy("doc_id", "start_token")) - 1
-    placed = pieces.withColumn("rank", rank).join(table, ["tokens", "bucket"]).select(
-        "doc_id", "start_token", "tokens", (F.col("before") + F.col("rank")).alias("position"))
-    out = placed.mapInArrow(_placer(runs), "doc_id long, start_token long, tokens long, container_id long")
-    return out.select(F.lit(limit_id).alias("limit_id"), "*")
-
-
-def packed(documents: DataFrame, limits: DataFrame) -> DataFrame:
-    spark = documents.sparkSession
-    ws = Workspace(spark, "packing")
-    lengths = ws.save(counts(documents), "lengths")
-    out = spark.createDataFrame([], "limit_id int, doc_id long, start_token long, tokens long, container_id long")
-    for r in sorted(limits.where("capacity_tokens > 0").select("limit_id", "capacity_tokens").distinct().collect()):
-        one = pack(lengths, r["limit_id"], r["capacity_tokens"])
-        out = out if one is None else out.unionByName(one)
+#: Texts in a block of a queue, containers in a window, share of a container from which on it is closed, windows whose rest is packed together.
+BLOCK_ROWS, CONTAINERS, FULL, CARRY = 100_000, 512, 0.98, 64
+#: A table of limits is a setting, not data.
+MOST_LIMITS = 1000
+_OUT = "limit_id int, capacity long, mix_window long, container long, doc_id long, source string, start_token long, tokens long"
+
+
+def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The container of each piece: longest first, into the fullest container that has room."""
+    out = np.zeros(len(sizes), np.int64)
+    rooms: list[tuple[int, int]] = []
+    used = 0
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        size = int(sizes[i])
+        at = bisect_left(rooms, (size, -1))
+        if at < len(rooms):
+            room, container = rooms.pop(at)
+        else:
+            room, container, used = capacity, used, used + 1
+        out[i] = container
+        if room > size:
+            insort(rooms, (room - size, container))
     return out
+
+
+def _pack_window(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values(["tokens", "doc_id", "start_token"], kind="stable", ascending=[False, True, True])
+    return frame.assign(container=best_fit(frame["tokens"].to_numpy(), int(frame["capacity"].iloc[0])))[
+        ["limit_id", "capacity", "mix_window", "container", "doc_id", "source", "start_token", "tokens"]]
+
+
+def pieces(lengths: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
+    """Every text for every limit, cut where it exceeds the capacity."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("int").alias("limit_id"), F.lit(c).cast("long").alias("capacity")) for i, c in limits]))
+    zero = F.lit(0).cast("long")
+    return (lengths.where(F.col("tokens") > 0).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("tokens").alias("all"), each.alias("l"))
+            .select("doc_id", "source", "all", "l.*")
+            .withColumn("start_token", F.explode(F.sequence(zero, F.col("all") - 1, F.col("capacity"))))
+            .select("limit_id", "capacity", "doc_id", "source", "start_token", F.least("capacity", F.col("all") - F.col("start_token")).alias("tokens"),
+                    F.xxhash64("doc_id", "start_token").alias("turn")))
+
+
+def mix_windows(items: DataFrame, blocks: int, targets: dict[str, float] | None = None) -> DataFrame:
+    """Adds ``mix_window``, the window in which deficit round-robin hands a piece out."""
+    queue = items.withColumn("block", F.pmod("turn", F.lit(blocks)))
+    sums = queue.groupBy("limit_id", "capacity", "source", "block").agg(F.sum("tokens").alias("held"))
+    before = sums.withColumn("before", F.sum("held").over(Window.partitionBy("limit_id", "source").orderBy("block")) - F.col("held"))
+    total = sums.groupBy("limit_id", "capacity", "source").agg(F.sum("held").alias("queue"))
+    every = total.groupBy("limit_id").agg(F.sum("queue").alias("every"))
+    quanta = total.join(every, "limit_id")
+    windows = F.greatest(F.lit(1.0), F.ceil(F.col("every") / (F.col("capacity") * CONTAINERS)))
+    if targets:
+        share = F.coalesce(F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])[F.col("source")], F.lit(min(targets.values())))
+        quantum = share / F.sum(share).over(Window.partitionBy("limit_id")) * F.col("capacity") * CONTAINERS
+    else:
+        quantum = F.col("queue") / windows
+    quanta = quanta.select("limit_id", "source", quantum.alias("quantum"))
+    plan = before.join(quanta, ["limit_id", "source"]).select("limit_id", "source", "block", "before", "quantum")
+    running = Window.partitionBy("limit_id", "source", "block").orderBy("turn", "doc_id", "start_token").rowsBetween(Window.unboundedPreceding, 0)
+    served = queue.withColumn("within", F.sum("tokens").over(running)).join(plan, ["limit_id", "source", "block"])
+    place = F.ceil((F.col("before") + F.col("within")) / F.col("quantum") - 1e-9) - 1
+    return served.select("limit_id", "capacity", "doc_id", "source", "start_token", "tokens", F.greatest(F.lit(0), place).cast("long").alias("mix_window"))
+
+
+def pack(lengths: DataFrame, limits: list[tuple[int, int]], ws: Workspace, targets: dict[str, float] | None = None) -> DataFrame:
+    """The pieces of all texts with their windows and containers."""
+    rows = lengths.count()
+    mixed = mix_windows(pieces(lengths, limits), max(1, -(-rows // BLOCK_ROWS)), targets)
+    first = ws.save(mixed.groupBy("limit_id", "mix_window").applyInPandas(_pack_window, _OUT), "windows")
+    filled = Window.partitionBy("limit_id", "mix_window", "container")
+    level = first.withColumn("fill", F.sum("tokens").over(filled))
+    closed = level.where(F.col("fill") >= FULL * F.col("capacity")).drop("fill").withColumn("carried", F.lit(0).cast("long"))
+    rest = level.where(F.col("fill") < FULL * F.col("capacity")).drop("fill")
+    again = (rest.withColumn("group", F.floor(F.col("mix_window") / CARRY)).groupBy("limit_id", "group").applyInPandas(_pack_window, _OUT)
+             .withColumn("carried", F.lit(1).cast("long")))
+    # The window is that of the round-robin; a carried container is numbered in the group's last window.
+    at = F.when(F.col("carried") == 1, F.floor(F.col("mix_window") / CARRY) * CARRY + CARRY - 1).otherwise(F.col("mix_window"))
+    return closed.unionByName(again).select(
+        "limit_id", ((at * 2 + F.col("carried")) * (1 << 22) + F.col("container")).cast("long").alias("container_id"),
+        "mix_window", "doc_id", "source", "start_token", "tokens")
+
+
+def packed(documents: DataFrame, limits: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    ws = Workspace(documents.sparkSession, "packing")
+    given = limits.where("capacity_tokens > 0").select("limit_id", "capacity_tokens").distinct().limit(MOST_LIMITS + 1).collect()
+    if len(given) > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} limits")
+    if not given:
+        return documents.sparkSession.createDataFrame([], "limit_id int, container_id long, mix_window long, doc_id long, source string, start_token long, tokens long")
+    return pack(ws.save(counts(documents), "lengths"), sorted((r[0], r[1]) for r in given), ws, targets)
+
+
+def fill(packs: DataFrame, limits: DataFrame) -> DataFrame:
+    """Per limit: containers, tokens, the fewest containers that could hold them, and the share filled."""
+    one = packs.groupBy("limit_id", "container_id").agg(F.sum("tokens").alias("t")).groupBy("limit_id").agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
+    return one.join(F.broadcast(limits.select("limit_id", "capacity_tokens").distinct().limit(MOST_LIMITS)), "limit_id").select(
+        "limit_id", "containers", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least"),
+        (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))

@@ -40,6 +40,10 @@ def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents"), table(spark, sf, "pack_limits"))
 
 
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, sf), table(spark, sf, "pack_limits"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Query]:
         "p6_found": p6_found,
         "p7_ids": p7_ids,
         "p8_packed": p8_packed,
+        "p8_fill": p8_fill,
         "p9_found": p9_found,
     }
 
