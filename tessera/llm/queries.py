@@ -28,6 +28,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.found(table(spark, sf, "evidence"))
 
 
+def p5_text(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.normalised(table(spark, sf, "evidence"))
+
+
+def p5_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.confusable_tokens(table(spark, sf, "evidence"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return nearcopy.found(table(spark, sf, "evidence"))
 
@@ -54,6 +62,8 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p2_collapsed": p2_collapsed,
         "p5_found": p5_found,
+        "p5_text": p5_text,
+        "p5_tokens": p5_tokens,
         "p6_found": p6_found,
         "p7_ids": p7_ids,
         "p8_packed": p8_packed,
