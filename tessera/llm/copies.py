@@ -16,7 +16,6 @@ columns are ignored; a text of any length has a key of 16 bytes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +33,7 @@ def _void(word: str, digit: str, minus: str) -> str:
     return (rf"[^{word}.,{minus}]+|[.,](?:(?<![{digit}][.,])|(?![{digit}]))|[{minus}](?:(?<=[{word}][{minus}])|(?![{digit}]))")
 
 
-#: For all texts, and for those in ASCII, which need no look at letter categories.
-_VOID, _VOID_ASCII = _void(_WORD, r"\p{N}", r"\-−"), _void("a-z0-9", "0-9", r"\-")
+_VOID = _void(_WORD, r"\p{N}", r"\-−")
 #: Lower case spellings that upper case does not tell apart.
 _FOLD = (("ß", "ss"), ("ς", "σ"))
 FIELD_ENDS = r"[;|\r\n]"
@@ -49,20 +47,14 @@ def _bare(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, _VOID, ""), "−", "-")
 
 
-def _reduced(low: Column, bare: Callable[[Column], Column], is_table: Column) -> Column:
-    fields = F.array_sort(F.filter(F.transform(F.split(low, FIELD_ENDS), bare), lambda x: x != ""))
-    return F.when(is_table, F.array_join(fields, "\u0001")).otherwise(bare(low))
-
-
 def canonical(text: Column, block_type: Column) -> Column:
     """The text reduced to what counts; a table's fields in sorted order, empty ones left out."""
     low = F.lower(text)
     for a, b in _FOLD:
         low = F.replace(low, F.lit(a), F.lit(b))
+    fields = F.array_sort(F.filter(F.transform(F.split(low, FIELD_ENDS), _bare), lambda x: x != ""))
     is_table = F.coalesce(block_type == "table", F.lit(False))
-    plain = _reduced(F.lower(text), lambda x: F.regexp_replace(x, _VOID_ASCII, ""), is_table)
-    body = F.when(F.octet_length(text) == F.length(text), plain).otherwise(_reduced(low, _bare, is_table))
-    return F.concat(F.when(is_table, F.lit("T")).otherwise(F.lit("S")), body)
+    return F.concat(F.when(is_table, F.lit("T")).otherwise(F.lit("S")), F.when(is_table, F.array_join(fields, "\u0001")).otherwise(_bare(low)))
 
 
 def canonical_key(text: Column, block_type: Column) -> Column:

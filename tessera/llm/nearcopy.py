@@ -35,12 +35,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.copies import canonical_key
 from tessera.llm.lookalike import Reader, reader
-from tessera.operators.records import statements
+from tessera.operators.records import lookup_skewed, statements
 from tessera.plans.workspace import Workspace
 
 SIMILARITY = 0.85
@@ -202,6 +202,11 @@ def blocks(key: np.ndarray, bag: np.ndarray, many: np.ndarray) -> tuple[np.ndarr
     return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+#: Index rows worked on at once.
+AT_ONCE = 400_000
+INDEX = "key long, bag long, parity long, size int"
+
+
 def _indexer(signer: Signer, hot: dict[int, int]):
     heads = np.array(sorted(hot), np.int64)
     parts = np.array([hot[k] for k in heads.tolist()], np.int64)
@@ -248,15 +253,69 @@ def corpus_signer(alone: DataFrame) -> Signer:
 
 def met_in_table(alone: DataFrame, signer: Signer) -> DataFrame:
     """Pairs (a, b), a < b, that share a bucket of one table and may reach the threshold."""
-    schema = "key long, bag long, parity long, size int"
-    some = alone.where(F.pmod("bag", F.lit(SAMPLE)) == 0).mapInArrow(_indexer(signer, {}), schema)
+    some = alone.where(F.pmod("bag", F.lit(SAMPLE)) == 0).mapInArrow(_indexer(signer, {}), INDEX)
     often = some.groupBy("key").count().where(F.col("count") >= max(HOT_BUCKET // SAMPLE, 2)).orderBy(F.desc("count"), "key").limit(100_000)
     hot = {r["key"]: max(2, -(-r["count"] * SAMPLE // HOT_BUCKET)) for r in often.collect()}
-    index = alone.mapInArrow(_indexer(signer, hot), schema)
-    spread = index.repartition(int(alone.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    left = spread.select("key", F.col("bag").alias("a"), F.col("parity").alias("pa"), F.col("size").alias("na"))
-    right = spread.select(F.col("key").alias("key_b"), F.col("bag").alias("b"), F.col("parity").alias("pb"), F.col("size").alias("nb"))
-    return left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & _close()).select("a", "b")
+    index = alone.mapInArrow(_indexer(signer, hot), INDEX)
+    return index.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting, "a long, b long")
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within the buckets of index rows sorted by key; a bucket may go over several batches."""
+    held: list[list[np.ndarray]] = []
+    rows, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one = [batch.column(n).to_numpy() for n in ("key", "bag", "parity", "size")]
+        # Buckets are gathered until there are enough rows, and only whole ones are worked on.
+        if rows >= AT_ONCE and one[0][-1] != last:
+            cut = int(np.searchsorted(one[0], last, side="right")) if one[0][0] <= last else 0
+            held.append([x[:cut] for x in one])
+            yield from _within(*[np.concatenate(x) for x in zip(*held)])
+            held, rows, one = [], 0, [x[cut:] for x in one]
+        held.append(one)
+        rows, last = rows + len(one[0]), one[0][-1]
+    if held:
+        yield from _within(*[np.concatenate(x) for x in zip(*held)])
+
+
+def _within(key: np.ndarray, bag: np.ndarray, parity: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Every row against the rows after it in its bucket, all buckets at once: first neighbours, then
+    rows two apart, and so on.  No true pair fails: the differing bits and the difference of sizes are
+    at most the differing elements."""
+    if not len(key):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    ends = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
+    parity, row = parity.view(np.uint64), np.arange(len(key))
+    left, right, held, apart = [], [], 0, 1
+    while True:
+        row = row[ends[row] - row > apart]
+        if not len(row):
+            break
+        other = row + apart
+        na, nb = size[row], size[other]
+        most = (1.0 - SIMILARITY) * (na + nb) + 1e-6
+        close = (np.bitwise_count(parity[row] ^ parity[other]) <= most) & (np.abs(na - nb) <= most)
+        a, b = bag[row[close]], bag[other[close]]
+        left.append(np.minimum(a, b))
+        right.append(np.maximum(a, b))
+        held, apart = held + len(a), apart + 1
+        if held > 1_000_000:
+            yield _pairs(left, right)
+            left, right, held = [], [], 0
+    if held:
+        yield _pairs(left, right)
+
+
+def _pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    """Different pairs, once each."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) & (a != b)
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
 
 def near_bags(alone: DataFrame, signer: Signer, ws: Workspace) -> DataFrame:
@@ -272,20 +331,32 @@ def near_bags(alone: DataFrame, signer: Signer, ws: Workspace) -> DataFrame:
     return ws.save(both.where(2.0 * common >= SIMILARITY * (F.size("ea") + F.size("elements")) - 1e-9).select("a", "b"), "near")
 
 
-def _close() -> Column:
-    """No true pair fails: the differing bits and the difference of sizes are at most the differing elements."""
-    most = (1.0 - SIMILARITY) * (F.col("na") + F.col("nb")) + 1e-6
-    return (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= most) & (F.abs(F.col("na") - F.col("nb")) <= most)
+def _members(sets: DataFrame) -> DataFrame:
+    return sets.where((F.col("size") > 0) & F.col("copy").isNotNull()).select("evidence_id", "bag", "copy", "looks").distinct()
 
 
-def found(evidence: DataFrame) -> DataFrame:
-    spark: SparkSession = evidence.sparkSession
-    ws = Workspace(spark, "nearcopy")
+def near_sets(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(evidence_id, bag, copy, looks) of all statements with words, and the pairs (a, b) of their bags that are near."""
+    ws = Workspace(evidence.sparkSession, "nearcopy")
     sets = ws.save(element_table(evidence), "sets")
     alone = ws.save(different_sets(sets), "alone")
-    near = near_bags(alone, corpus_signer(alone), ws)
-    members = (sets.where((F.col("size") > 0) & F.col("copy").isNotNull()).select("evidence_id", "bag", "copy", "looks")
-               .distinct())
+    return _members(sets), near_bags(alone, corpus_signer(alone), ws)
+
+
+def classes(evidence: DataFrame) -> DataFrame:
+    """One row per statement: its class (all statements of the same words, named by the smallest id), how many
+    statements the class has, and how many other classes are near it."""
+    members, near = near_sets(evidence)
+    each = members.select("evidence_id", "bag").distinct()
+    named = each.groupBy("bag").agg(F.min("evidence_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
+    linked = near.select(F.explode(F.array("a", "b")).alias("bag")).groupBy("bag").agg(F.count(F.lit(1)).alias("links"))
+    table = named.join(linked, "bag", "left").select("bag", "class_id", "members", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return lookup_skewed(each, table, "bag", F.col("members"), each.count()).select("evidence_id", "class_id", "members", "links")
+
+
+def found(evidence: DataFrame) -> DataFrame:
+    """Pairs of statements; every pair of members of near classes, as the contract asks."""
+    members, near = near_sets(evidence)
     units = members.select("bag", "copy").distinct()
     mixed = units.groupBy("bag").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select(F.col("bag").alias("a"), F.col("bag").alias("b"))
     sides = near.unionByName(mixed)

@@ -40,6 +40,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return nearcopy.found(table(spark, sf, "evidence"))
 
 
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return nearcopy.classes(table(spark, sf, "evidence"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.ids(table(spark, sf, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Query]:
         "p5_text": p5_text,
         "p5_tokens": p5_tokens,
         "p6_found": p6_found,
+        "p6_classes": p6_classes,
         "p7_ids": p7_ids,
         "p8_packed": p8_packed,
         "p8_fill": p8_fill,
