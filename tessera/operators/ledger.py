@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.plans.workspace import Workspace
 
 #: Rows of a bucket aimed at when a ledger is made.
-BUCKET_ROWS = 2_000_000
+BUCKET_ROWS = 1_000_000
 
 
 def buckets_for(rows: int) -> int:

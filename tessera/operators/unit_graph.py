@@ -2,10 +2,10 @@
 
 Spellings are the nodes of a graph.  Two values of one and the same measured thing link two spellings:
 a dual statement (a quantity and the one it restates), and a value with what an earlier run made of it.
-The links of two spellings are estimated together and robustly: the median of the ratios, or, where the
+The links of two spellings are estimated together and robustly: the median of the ratios and, where the
 ratios scatter, the median of slopes between links taken two by two and the median of what then remains
 as offset; so a minority of wrong links changes nothing.  From the canonical units, whose conversion is
-known, estimates are carried along the graph.  Each is snapped to the exact conversion of its parameter
+known, and then from spellings of the table that these do not reach, estimates are carried along the graph.  Each is snapped to the exact conversion of its parameter
 that lies within ``TOLERANCE``; one that fits none is dropped, so rounded prints never blur a result, and
 errors do not add up along a path.
 
@@ -29,6 +29,10 @@ from tessera.plans.workspace import Workspace
 
 #: Relative error of a printed number up to which it links; distance to an exact conversion; scatter of ratios.
 PRECISION, TOLERANCE, SCATTER = 0.006, 0.006, 0.02
+#: Scatter from which on an offset is looked for too.
+STRAIGHT = 0.004
+#: Distance of a slope to that of an exact conversion, which it is further from than the values in the middle are.
+SLOPE = 0.03
 #: Links needed to give a spelling of no table a conversion, and to overrule the table.
 LEAST, DECIDES = 3, 15
 #: Links met on one slope, on average.
@@ -57,28 +61,29 @@ def estimates(links: DataFrame) -> DataFrame:
     exact = links.where((F.col("u") != F.col("v")) & (F.col("x") != 0) & (F.col("y") != 0) & (precision(F.col("x")) <= PRECISION) & (precision(F.col("y")) <= PRECISION))
     both = exact.select(F.explode(F.array(F.struct("u", "x", "v", "y"), F.struct(F.col("v").alias("u"), F.col("y").alias("x"), F.col("u").alias("v"), F.col("x").alias("y")))).alias("l")).select("l.*")
     middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
-    ratio = both.groupBy("u", "v").agg(F.count(F.lit(1)).alias("links"), middle(F.col("y") / F.col("x")).alias("ratio"))
+    ratio = both.groupBy("u", "v").agg(F.count(F.lit(1)).alias("links"), middle(F.col("y") / F.col("x")).alias("ratio"), middle(F.col("x")).alias("mid"))
     with_ratio = both.join(ratio.where(F.col("links") >= LEAST), ["u", "v"])
-    spread = with_ratio.groupBy("u", "v").agg(F.first("links").alias("links"), F.first("ratio").alias("ratio"),
+    spread = with_ratio.groupBy("u", "v").agg(F.first("links").alias("links"), F.first("ratio").alias("ratio"), F.first("mid").alias("mid"),
                                               middle(F.abs(F.col("y") / (F.col("x") * F.col("ratio")) - 1)).alias("scatter"))
-    straight = spread.where(F.col("scatter") <= SCATTER).select("u", "v", "links", F.col("ratio").alias("slope"), F.lit(0.0).alias("offset"))
-    bent = with_ratio.join(spread.where(F.col("scatter") > SCATTER).select("u", "v"), ["u", "v"], "left_semi")
+    straight = spread.where(F.col("scatter") <= SCATTER).select("u", "v", "links", F.col("ratio").alias("slope"), F.lit(0.0).alias("offset"), "mid")
+    bent = with_ratio.join(spread.where(F.col("scatter") > STRAIGHT).select("u", "v"), ["u", "v"], "left_semi")
     place = F.xxhash64("x", "y", "u", "v")
     cell = F.pmod(place, F.greatest(F.lit(1), F.ceil(F.col("links") / PER_SLOPE)).cast("long"))
     ends = bent.groupBy("u", "v", cell.alias("cell")).agg(F.min_by(F.struct("x", "y"), place).alias("a"), F.max_by(F.struct("x", "y"), place).alias("b"))
     slope = ends.where(F.col("a.x") != F.col("b.x")).groupBy("u", "v").agg(middle((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))).alias("slope"))
     offset = bent.join(slope, ["u", "v"]).groupBy("u", "v").agg(F.first("links").alias("links"), F.first("slope").alias("slope"),
-                                                                middle(F.col("y") - F.col("slope") * F.col("x")).alias("offset"))
+                                                                middle(F.col("y") - F.col("slope") * F.col("x")).alias("offset"), F.first("mid").alias("mid"))
     return straight.unionByName(offset)
 
 
 def _snapped(reached: DataFrame, exact: DataFrame) -> DataFrame:
-    """reached (form, measures, scale, offset, links) to the nearest exact conversion of the parameter."""
+    """reached (form, measures, scale, offset, mid, links) to the nearest exact conversion of the parameter:
+    close in scale, and within the tolerance at the middle of the values that were linked."""
+    off = F.abs((F.col("scale") - F.col("s")) * F.col("mid") + F.col("offset") - F.col("o"))
     near = reached.join(exact.withColumnRenamed("scale", "s").withColumnRenamed("offset", "o"), "measures").where(
-        (F.abs(F.log(F.try_divide(F.col("scale"), F.col("s")))) <= F.when(F.col("o") == 0, TOLERANCE).otherwise(6 * TOLERANCE))
-        & (F.abs(F.col("offset") - F.col("o")) <= 0.01 + 0.03 * F.abs(F.col("o"))))
-    miss = F.abs(F.log(F.col("scale") / F.col("s"))) + F.abs(F.col("offset") - F.col("o")) / (1 + F.abs(F.col("o")))
-    # A unit of no table is only taken for what a link says within the tolerance; the better supported path first.
+        (F.abs(F.log(F.try_divide(F.col("scale"), F.col("s")))) <= SLOPE) & (off <= TOLERANCE * F.abs(F.col("s") * F.col("mid"))))
+    miss = off / F.abs(F.col("s") * F.col("mid")) + F.abs(F.log(F.col("scale") / F.col("s")))
+    # The better supported path first, then the nearer conversion.
     return near.groupBy("form").agg(F.max_by(F.struct("measures", F.col("s").alias("scale"), F.col("o").alias("offset"), "links"), F.struct("links", -miss)).alias("c")).select("form", "c.*")
 
 
@@ -90,17 +95,28 @@ def conversions(links: DataFrame, canonical: DataFrame, anchors: DataFrame, ws:
     edges = ws.save(estimates(links), "edges")
     exact = F.broadcast(table.select("measures", "scale", "offset").distinct())
     solved = anchors.select("form", "measures", F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset"), F.lit(1 << 40).cast("long").alias("links"))
-    frontier, every = solved, [solved]
-    for step in range(ROUNDS):
-        done = reduce(DataFrame.unionByName, every)
-        from_there = edges.join(frontier.select(F.col("form").alias("v"), "measures", F.col("scale").alias("sv"), F.col("offset").alias("ov"), F.col("links").alias("lv")), "v")
-        reached = from_there.select(F.col("u").alias("form"), "measures", (F.col("sv") * F.col("slope")).alias("scale"),
-                                    (F.col("sv") * F.col("offset") + F.col("ov")).alias("offset"), F.least("links", "lv").alias("links"))
-        frontier = ws.save(_snapped(reached.join(done.select("form"), "form", "left_anti"), exact), f"reached{step}")
-        if frontier.isEmpty():
-            break
-        every.append(frontier)
-    linked = reduce(DataFrame.unionByName, every)
+    every = [solved]
+
+    def carry(frontier: DataFrame, label: str) -> None:
+        """Carries conversions from the frontier on until no new spelling is reached."""
+        for step in range(ROUNDS):
+            done = reduce(DataFrame.unionByName, every)
+            from_there = edges.join(frontier.select(F.col("form").alias("v"), "measures", F.col("scale").alias("sv"), F.col("offset").alias("ov"), F.col("links").alias("lv")), "v")
+            reached = from_there.select(F.col("u").alias("form"), "measures", (F.col("sv") * F.col("slope")).alias("scale"),
+                                        (F.col("sv") * F.col("offset") + F.col("ov")).alias("offset"), "mid", F.least("links", "lv").alias("links"))
+            frontier = ws.save(_snapped(reached.join(done.select("form"), "form", "left_anti"), exact), f"{label}{step}")
+            if frontier.isEmpty():
+                break
+            every.append(frontier)
+
+    carry(solved, "reached")
+    # What the canonical units' own spellings don't reach may be tied to other known spellings.
+    rest = table.join(reduce(DataFrame.unionByName, every).select("form"), "form", "left_anti").select(
+        "form", "measures", "scale", "offset", F.lit(1 << 40).cast("long").alias("links"))
+    rest = ws.save(rest, "rest")
+    every.append(rest)
+    carry(rest, "further")
+    linked = reduce(DataFrame.unionByName, [x for x in every if x is not rest])
     units = canonical.select(F.col("parameter").alias("measures"), "canonical_unit").distinct()
     named = linked.join(F.broadcast(units), "measures")
     both = table.select("form", F.struct("measures", "canonical_unit", "scale", "offset").alias("t")).join(
