@@ -16,7 +16,7 @@ LOOKS = {
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _SPACES = "".join(map(chr, [0x09, 0x0A, 0x0D, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
 _GONE = "".join(map(chr, [0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]))
-_PLAIN = {"²": "2", "³": "3", "⁄": "/", "−": "-", "‐": "-", "‑": "-", "·": ".", "⋅": ".", "•": ".", "∙": ".", "*": ".", "×": ".", "µ": "u", "μ": "u", "º": "°", "K": "K", "Å": "Å"}
+_PLAIN = {"²": "2", "³": "3", "⁄": "/", "−": "-", "‐": "-", "‑": "-", "·": ".", "⋅": ".", "•": ".", "∙": ".", "*": ".", "×": ".", "µ": "u", "μ": "u", "º": "°", chr(0x212A): "K", chr(0x212B): "Å"}
 
 
 def plain_marks(text: Column) -> Column:
@@ -24,5 +24,6 @@ def plain_marks(text: Column) -> Column:
     plain ones, invisible characters away, lower case.  One pass in the JVM."""
     source = "".join(o for o, _ in LOOKS.values()) + _WIDE + "".join(_PLAIN) + _SPACES + _GONE
     target = "".join(x for _, x in LOOKS.values()) + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + "".join(_PLAIN.values()) + " " * len(_SPACES)
-    folded = F.translate(text, source, target)
+    # Only the case tells milliwatt from megawatt; elsewhere it may be careless.
+    folded = F.regexp_replace(F.translate(text, source, target), "\\bmW\\b", "milliwatt")
     return F.lower(F.replace(F.replace(folded, F.lit("℃"), F.lit("°C")), F.lit("℉"), F.lit("°F")))

@@ -30,7 +30,7 @@ _SIMPLE: dict[str, list[tuple[float, str]]] = {
                (GAL_UK, "gal (uk)|gal(uk)|gal (imp)|uk gal|imp gal|imp. gal|imperial gallon|imperial gallons|gallons (uk)|gallon (uk)")],
     "mass": [(1.0, "kg|kgs|kilogram|kilograms|kilogramme|kilogrammes"), (0.001, "g|gram|grams|gramme|grammes"), (1e-6, "mg"),
              (1000.0, "t|tonne|tonnes"), (LB, "lb|lbs|pound|pounds"), (LB / 16, "oz|ounce|ounces")],
-    "power": [(1.0, "kw|kilowatt|kilowatts"), (0.001, "w|watt|watts"), (1000.0, "mw|megawatt|megawatts"), (HP_W / 1000, "hp|bhp|horsepower"), (0.73549875, "ps")],
+    "power": [(1.0, "kw|kilowatt|kilowatts"), (0.001, "w|watt|watts"), (1000.0, "mw|megawatt|megawatts"), (1e-6, "milliwatt|milliwatts"), (HP_W / 1000, "hp|bhp|horsepower"), (0.73549875, "ps")],
     "flow": [(1.0, "l/min|lpm|ltr/min|litres per minute|liters per minute|dm3/min"), (1 / 60, "l/h|lph"), (60.0, "l/s"), (1000 / 60, "m3/h"),
              (1000.0, "m3/min"), (0.001, "ml/min|cm3/min"), (GAL_US, "gpm (us)|gpm(us)|us gpm|gpm")],
     "force": [(1.0, "n|newton|newtons"), (1000.0, "kn|kilonewton|kilonewtons"), (10.0, "dan"), (LBF, "lbf|pound-force|pounds-force"), (KGF, "kgf|kp|kilopond|kiloponds")],

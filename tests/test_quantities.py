@@ -71,3 +71,9 @@ def test_links_overrule_the_table_only_when_many(spark):
     anchors = can.selectExpr("canonical_unit as form", "parameter as measures").replace("N*m", "n.m", "form")
     got = {r["form"]: r["scale"] for r in conversions(q.same_things(rows), can, anchors, Workspace(spark, "test")).collect()}
     assert abs(got["psi"] - 0.0689475729) < 1e-9 and abs(got["atm"] - 0.980665) < 1e-9
+
+
+def test_case_tells_milliwatt_from_megawatt(spark):
+    df = quantities(spark, {"quantity_id": "a", "value": 5.0, "value_text": "5", "unit_raw": "mW"}, {"quantity_id": "b", "value": 5.0, "value_text": "5", "unit_raw": "MW"},
+                    {"quantity_id": "c", "value": 300.0, "value_text": "300", "unit_raw": "K"})
+    assert run(spark, df) == {"a": ("kW", 0), "b": ("kW", 5_000_000), "c": ("degC", 26850)}
