@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import quantities, references
+from tessera.plans import register_queries
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +30,7 @@ def queries() -> dict[str, Query]:
         "p3_found": p3_found,
         "p3_report": p3_report,
         "p4_found": p4_found,
-    }
+    } | register_queries.QUERIES
 
 
 _ORPHANS = """
@@ -60,4 +61,4 @@ WHERE state IS NOT NULL GROUP BY ref_table, ref_field, period, state"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _P3, "p3_report": _P3_REPORT}
+    return {"p3_found": _P3, "p3_report": _P3_REPORT} | register_queries.SQL
