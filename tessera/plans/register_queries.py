@@ -312,11 +312,6 @@ def agg_09(s: SparkSession, d: str) -> DataFrame:
     return register.page_boxes(ev(s, d, "source_id", "page_no", "bbox"))
 
 
-@query("agg_10_members", "SELECT canonical_evidence_id, array_to_string(list_sort(list(evidence_id)), '|') AS members FROM ev WHERE canonical_evidence_id <> '' GROUP BY 1")
-def agg_10(s: SparkSession, d: str) -> DataFrame:
-    return ev(s, d, "canonical_evidence_id").where("canonical_evidence_id <> ''").groupBy("canonical_evidence_id").agg(F.array_join(F.array_sort(F.collect_list("evidence_id")), "|").alias("members"))
-
-
 @query("agg_11_components", ", f AS (SELECT source_id, component, min((page_no, seq, evidence_id)) AS pos FROM ev WHERE component IS NOT NULL GROUP BY 1, 2) SELECT source_id, string_agg(component, '; ' ORDER BY pos) AS listed, count(*) AS n FROM f GROUP BY 1")
 def agg_11(s: SparkSession, d: str) -> DataFrame:
     return register.first_seen_values(ev(s, d, "source_id", "component", "page_no", "seq"), "component")
