@@ -19,11 +19,16 @@ _GONE = "".join(map(chr, [0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]))
 _PLAIN = {"²": "2", "³": "3", "⁄": "/", "−": "-", "‐": "-", "‑": "-", "·": ".", "⋅": ".", "•": ".", "∙": ".", "*": ".", "×": ".", "µ": "u", "μ": "u", "º": "°", chr(0x212A): "K", chr(0x212B): "Å"}
 
 
+def translation() -> tuple[str, str]:
+    """Characters and what they become; those without a counterpart go."""
+    source = "".join(o for o, _ in LOOKS.values()) + _WIDE + "".join(_PLAIN) + _SPACES + _GONE
+    target = "".join(x for _, x in LOOKS.values()) + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + "".join(_PLAIN.values()) + " " * len(_SPACES)
+    return source, target
+
+
 def plain_marks(text: Column) -> Column:
     """Units and numbers in one spelling: wide and look-alike letters to Latin, special spaces to
     plain ones, invisible characters away, lower case.  One pass in the JVM."""
-    source = "".join(o for o, _ in LOOKS.values()) + _WIDE + "".join(_PLAIN) + _SPACES + _GONE
-    target = "".join(x for _, x in LOOKS.values()) + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + "".join(_PLAIN.values()) + " " * len(_SPACES)
     # Only the case tells milliwatt from megawatt; elsewhere it may be careless.
-    folded = F.regexp_replace(F.translate(text, source, target), "\\bmW\\b", "milliwatt")
+    folded = F.regexp_replace(F.translate(text, *translation()), "\\bmW\\b", "milliwatt")
     return F.lower(F.replace(F.replace(folded, F.lit("℃"), F.lit("°C")), F.lit("℉"), F.lit("°F")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import quantities, references
-from tessera.plans import analysis_queries, register_queries  # noqa: F401  (registers its queries)
+from tessera.plans import analysis_queries, register_queries, units_sql  # noqa: F401  (registers its queries)
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,4 +61,4 @@ WHERE state IS NOT NULL GROUP BY ref_table, ref_field, period, state"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _P3, "p3_report": _P3_REPORT} | register_queries.SQL
+    return {"p3_found": _P3, "p3_report": _P3_REPORT, "p4_found": units_sql.statement()} | register_queries.SQL
