@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import copies, groups, lookalike, nearcopy, packing, sentences, tokens
+from tessera.llm import copies, groups, lookalike, looks_sql, nearcopy, packing, sentences, tokens
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,4 +126,4 @@ _P2_COLLAPSED = f"WITH {_KEYS} SELECT group_id, earliest_id, n AS copies FROM gr
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p2_found": _P2, "p2_collapsed": _P2_COLLAPSED}
+    return {"p1_found": _P1, "p2_found": _P2, "p2_collapsed": _P2_COLLAPSED, "p5_found": looks_sql.P5, "p6_found": looks_sql.p6(_KEYS)}
