@@ -38,7 +38,7 @@ def _forms() -> tuple[str, str]:
 def look(x: str) -> str:
     source, target = _forms()
     plain = f"translate({x}, {_q(source)}, {_q(target)})"
-    for c in "ﬀﬁﬂﬃﬄ":
+    for c in "ﬀﬁﬂﬃﬄ℃℉":
         plain = f"replace({plain}, '{c}', '{unicodedata.normalize('NFKC', c)}')"
     spelled = f"^(?:[\\p{{Latin}}\\p{{M}}\\p{{N}}]|[{_FROM}])+$"
     return (f"array_to_string(list_transform(regexp_extract_all(nfc_normalize({plain}), '[\\p{{L}}\\p{{M}}\\p{{N}}]+|[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), "
