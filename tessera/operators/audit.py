@@ -20,15 +20,15 @@ def chained(log: DataFrame, entity: str, order: list[str], payload: str) -> Data
     """(entity, number, payload, prev_hash, entry_hash): the entries of each entity in order, chained.
 
     An entity's entries are folded in one place, as each needs the one before."""
-    entries = log.where(F.col(entity).isNotNull() & F.col(payload).isNotNull()).groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(payload).alias("_p")))).alias("e"))
+    entries = log.where(F.col(entity).isNotNull() & F.col(payload).isNotNull()).groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(payload).alias("_p")))).alias("_entries"))
     empty = F.array().cast("array<struct<payload:string,prev_hash:string,entry_hash:string>>")
 
     def step(done: Column, x: Column) -> Column:
         last = F.coalesce(F.try_element_at(done, F.lit(-1))["entry_hash"], F.lit(GENESIS))
         return F.concat(done, F.array(F.struct(x["_p"].alias("payload"), last.alias("prev_hash"), entry_hash(last, x["_p"]).alias("entry_hash"))))
 
-    links = entries.select(entity, F.posexplode(F.aggregate("e", empty, step)).alias("number", "x"))
-    return links.select(entity, (F.col("number") + 1).cast("bigint").alias("number"), "x.*")
+    links = entries.select(entity, F.posexplode(F.aggregate("_entries", empty, step)).alias("number", "_x"))
+    return links.select(entity, (F.col("number") + 1).cast("bigint").alias("number"), "_x.*")
 
 
 def broken(chain: DataFrame, entity: str) -> DataFrame:

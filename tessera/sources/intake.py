@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def listing(spark: SparkSession, root: str, glob: str = "*", without: tuple[str, ...] = ()) -> DataFrame:
-    """(path, size, modified, sha256) of the files under a folder, in any depth; ``without`` are patterns of paths to leave out."""
+    """(path, size, modified, sha256) of the files under a folder, in any depth; ``without`` are patterns of paths to leave out.
+    Spark's scan passes over empty files, so these are not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     for pattern in without:
         files = files.where(~F.col("path").rlike(pattern))
