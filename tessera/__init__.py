@@ -1,10 +1,9 @@
 """tessera: a Spark-native engine for registers of technical evidence.
 
-What exists: groups, copies, look-alikes, near-duplicates, token ids and packing of training data
-(``llm``), orphan references and unit conversion (``operators``).  What does not: the reference's
-own operators (blocks, statements, conflicts, reports, review, audit), readers and writers, streaming
-and a pipeline of stages.  Everything is expressed over DataFrames so that Catalyst plans it; Arrow
-batches are used only where a rule cannot be written as a column expression.
+Statements, sources, quantities and pairs are read from the register's tables; operators over them are
+DataFrame expressions that Catalyst plans, with Arrow batches only where a rule cannot be written as a
+column.  ``functions`` holds columns, ``operators`` relations, ``sources`` and ``streaming`` what comes in,
+``plans`` queries with the SQL that says the same, ``llm`` operators for training data.
 """
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -70,7 +70,8 @@ class BucketLedger:
         self.ledgers.version += 1
         where = f"{self.ledgers.at}/{self.name}-{label}-{self.ledgers.version:05d}"
         bucketed = df.withColumn("_b", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
-        bucketed.repartition(self.buckets, "_b").write.partitionBy("_b").option("compression", "zstd").parquet(where)
+        with self.ws.cleaning():
+            bucketed.repartition(self.buckets, "_b").write.partitionBy("_b").option("compression", "zstd").parquet(where)
         root = self.ws._path(where)
         names = [s.getPath().getName() for s in self.ws._fs(root).listStatus(root)]
         return where, {int(n[3:]): f"{where}/{n}" for n in names if n.startswith("_b=")}

@@ -122,6 +122,7 @@ def found(sources: DataFrame, evidence: DataFrame, near: DataFrame) -> DataFrame
     ledger = ReferenceLedger(ws, rows)
     for q in sorted(r["quarter"] for r in sizes):
         ledger.apply(every.where(F.col("quarter") == q).drop("quarter"))
+    ws.drop(every)
     return ledger.orphans(2 * rows)
 
 

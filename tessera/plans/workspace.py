@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,28 +19,39 @@ CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a fresh temporary one where none is configured."""
+    """The cluster's shared folder; in local mode, where none is configured, a fresh temporary one."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{SETTING} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set(SETTING, found) if spark.conf.isModifiable(SETTING) else None
     return found.rstrip("/")
 
 
 class Workspace:
-    """A private folder of named parquet tables; everything in it goes when the session ends."""
+    """A private folder of named parquet tables; what is left in it goes when the session ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.serial = 0
-        # An iterative operator runs many executions; each one's shuffle files go when it ends.
-        for name in CLEANUP:
-            if spark.conf.isModifiable(name):
-                spark.conf.set(name, "true")
         path = self._path(self.root)
         self._fs(path).deleteOnExit(path)
 
+    @contextmanager
+    def cleaning(self) -> Iterator[None]:
+        """Within it, shuffle files of an execution go when it ends; the session's own settings come back after."""
+        before = {name: self.spark.conf.get(name, None) for name in CLEANUP if self.spark.conf.isModifiable(name)}
+        for name in before:
+            self.spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            for name, value in before.items():
+                self.spark.conf.unset(name) if value is None else self.spark.conf.set(name, value)
+
     def _path(self, where: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
 
@@ -55,7 +68,8 @@ class Workspace:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(where)
+        with self.cleaning():
+            writer.parquet(where)
         back = self.spark.read.schema(df.schema).parquet(where)
         back.tessera_path = where
         return back
