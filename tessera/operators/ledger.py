@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from tessera.plans.workspace import Workspace
 
-#: Rows of a bucket aimed at when a ledger is made.
-BUCKET_ROWS = 1_000_000
+#: Rows of a bucket aimed at, and above so many buckets.
+BUCKET_ROWS, MANY, MORE_ROWS = 100_000, 4096, 1_000_000
 
 
 def buckets_for(rows: int) -> int:
-    """A power of two, so that no bucket of ``rows`` evenly spread keys is much over BUCKET_ROWS."""
-    return max(8, 1 << max(0, -(-rows // BUCKET_ROWS) - 1).bit_length())
+    """A power of two, so that a bucket of evenly spread keys stays a small part of a task's memory."""
+    wanted = min(rows // BUCKET_ROWS, max(MANY, rows // MORE_ROWS))
+    return 1 << max(0, wanted).bit_length()
 
 
 class Ledgers:

@@ -40,7 +40,7 @@ def test_batches_in_any_order_and_twice(spark):
     every = deliveries(*tables(spark))
     parts = [every.where(f"pmod(hash(id, at), 3) = {i}") for i in range(3)]
     for order in ((0, 1, 2), (2, 1, 0, 1, 2)):
-        ledger = ReferenceLedger(Workspace(spark, "test"), 10)
+        ledger = ReferenceLedger(Workspace(spark, "test"), 500_000)
         for i in order:
             ledger.apply(parts[i])
         assert found(ledger.orphans(100)) == WANTED
@@ -49,7 +49,7 @@ def test_batches_in_any_order_and_twice(spark):
 
 
 def test_deletion_is_a_negative_delta(spark):
-    ledger = ReferenceLedger(Workspace(spark, "test"), 10)
+    ledger = ReferenceLedger(Workspace(spark, "test"), 500_000)
     none = sources(spark).limit(0)
     ledger.apply(deliveries(none, evidence(spark, {"evidence_id": "A"}), near(spark, {"pair_id": "1", "evidence_a": "A"})))
     assert found(ledger.orphans(9)) == set()
@@ -59,10 +59,10 @@ def test_deletion_is_a_negative_delta(spark):
 
 def test_ledger_is_found_again_and_untouched_buckets_stay(spark, tmp_path):
     none, at = sources(spark).limit(0), f"file://{tmp_path}/kept"
-    first = ReferenceLedger(Workspace(spark, "test"), 10, at)
+    first = ReferenceLedger(Workspace(spark, "test"), 1_000_000, at)
     first.apply(deliveries(none, evidence(spark, *[{"evidence_id": f"E{i}"} for i in range(60)]), near(spark).limit(0)))
     before = dict(first.states.parts)
-    again = ReferenceLedger(Workspace(spark, "test"), 10, at)
+    again = ReferenceLedger(Workspace(spark, "test"), 1_000_000, at)
     again.apply(deliveries(none, evidence(spark, {"evidence_id": "E1", "status": "superseded", "loaded_at": day(9)}), near(spark).limit(0)))
     changed = [b for b in before if again.states.parts[b] != before[b]]
     assert len(changed) == 1 and again.states.read().count() == 60
