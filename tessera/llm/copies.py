@@ -44,7 +44,7 @@ _COUNT = "key binary, n long, group_id string, earliest struct<created_at: times
 
 
 def _bare(text: Column) -> Column:
-    return F.translate(F.regexp_replace(text, _VOID, ""), "−", "-")
+    return F.replace(F.regexp_replace(text, _VOID, ""), F.lit("−"), F.lit("-"))
 
 
 def canonical(text: Column, block_type: Column) -> Column:
@@ -109,6 +109,7 @@ def build_ledger(evidence: DataFrame) -> tuple[CopyLedger, int]:
     ledger = CopyLedger(ws, total)
     for q in sorted(r["quarter"] for r in sizes):
         ledger.apply(every.where(F.col("quarter") == q))
+    ws.drop(every)
     return ledger, total
 
 

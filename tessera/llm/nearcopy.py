@@ -328,7 +328,9 @@ def near_bags(alone: DataFrame, signer: Signer, ws: Workspace) -> DataFrame:
     half = pairs.join(alone.withColumnRenamed("bag", "a"), "a").withColumnRenamed("elements", "ea")
     both = half.join(alone.withColumnRenamed("bag", "b"), "b")
     common = F.size(F.array_intersect("ea", "elements"))
-    return ws.save(both.where(2.0 * common >= SIMILARITY * (F.size("ea") + F.size("elements")) - 1e-9).select("a", "b"), "near")
+    near = ws.save(both.where(2.0 * common >= SIMILARITY * (F.size("ea") + F.size("elements")) - 1e-9).select("a", "b"), "near")
+    ws.drop(pairs)
+    return near
 
 
 def _members(sets: DataFrame) -> DataFrame:

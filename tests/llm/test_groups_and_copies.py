@@ -78,7 +78,7 @@ def test_ledger_in_batches_equals_the_whole(spark):
     keyed = evidence(spark, *rows).select("evidence_id", canonical_key(F.col("text"), F.col("block_type")).alias("key"), "created_at")
     out = []
     for parts in (1, 4):
-        ledger = CopyLedger(Workspace(spark, "test"), 100)
+        ledger = CopyLedger(Workspace(spark, "test"), 1_000_000)
         for i in range(parts):
             batch = keyed.where(f"pmod(hash(evidence_id, created_at, {i}), 1) = 0") if parts == 1 else keyed.where(f"pmod(hash(evidence_id), 4) = {i} or pmod(hash(evidence_id), 4) = {i} - 1")
             ledger.apply(batch)
@@ -87,7 +87,7 @@ def test_ledger_in_batches_equals_the_whole(spark):
 
 
 def test_untouched_buckets_are_not_rewritten(spark):
-    ledger = CopyLedger(Workspace(spark, "test"), 100)
+    ledger = CopyLedger(Workspace(spark, "test"), 1_000_000)
     rows = evidence(spark, *[{"evidence_id": f"E{i}", "text": f"t {i}"} for i in range(80)]).select("evidence_id", canonical_key(F.col("text"), F.col("block_type")).alias("key"), "created_at")
     ledger.apply(rows)
     before = dict(ledger.counts.parts)
