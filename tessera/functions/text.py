@@ -92,12 +92,6 @@ def pattern_kind(text: Column) -> Column:
             .when(text.rlike(LIST_ITEM), "list_item"))
 
 
-def keywords(words: list[str]) -> str:
-    """A pattern of any of the words: longest first, any white space, plurals, whole words, any case."""
-    quoted = ["\\Q" + w.replace(" ", f"\\E{SPACE}+\\Q") + "\\E" + ("(?:s|es)?" if w[-1].isalpha() else "") for w in sorted(words, key=lambda w: (-len(w), w))]
-    return "(?iU)(?<!\\w)(?:" + "|".join(quoted) + ")(?!\\w)"
-
-
 def table_text(cells: Column) -> Column:
     """Cells joined by bars, rows by line breaks."""
     return F.array_join(F.transform(cells, lambda row: F.array_join(F.transform(row, lambda c: F.coalesce(c, F.lit(""))), " | ")), "\n")

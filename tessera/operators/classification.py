@@ -8,7 +8,7 @@ simple plurals.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,20 +106,16 @@ def components_of(evidence: DataFrame, components: dict[str, tuple[str, ...]] =
     return evidence.where(F.col("text").isNotNull()).select("evidence_id", F.explode(F.filter(hits, lambda x: x["hits"] > 0)).alias("c")).select("evidence_id", "c.component", "c.hits")
 
 
-@dataclass(frozen=True)
-class Applicability:
-    """Which fields a statement takes from its own text before those of its source."""
-
-    model_pattern: str = "\\b[A-Z]{2,3}-[0-9]{1,4}\\b"
-    fields: tuple[str, ...] = field(default=("equipment", "component", "revision"))
+#: What a model's name looks like in running text.
+MODEL = "\\b[A-Z]{2,3}-[0-9]{1,4}\\b"
 
 
-def applicability(evidence: DataFrame, sources: DataFrame, known: DataFrame, rule: Applicability = Applicability()) -> DataFrame:
+def applicability(evidence: DataFrame, sources: DataFrame, known: DataFrame, pattern: str = MODEL) -> DataFrame:
     """(evidence_id, models, origin): models named in the text or its heading and known to the register, else the source's.
 
     ``known`` (model) are the register's models, matched by an ordinary join on what the texts name."""
     named = evidence.where(F.col("text").isNotNull()).select("evidence_id", "source_id", F.explode_outer(F.array_distinct(
-        F.regexp_extract_all(F.concat_ws("\n", "section_heading", "text"), F.lit(rule.model_pattern), F.lit(0)))).alias("model"))
+        F.regexp_extract_all(F.concat_ws("\n", "section_heading", "text"), F.lit(pattern), F.lit(0)))).alias("model"))
     met = named.join(known.select("model", F.lit(True).alias("is_known")), "model", "left").groupBy("evidence_id", "source_id").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("is_known"), F.col("model")))), "; ").alias("own"))
     return met.join(sources.select("source_id", F.col("model").alias("source_model")), "source_id", "left").select(

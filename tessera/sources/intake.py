@@ -32,9 +32,3 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "n", first: int =
     before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).drop("_size")
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return ranged.withColumn("_within", within).join(F.broadcast(before), "_range").withColumn(name, (F.col("_within") + F.col("_before") + (first - 1)).cast("bigint")).drop("_range", "_within", "_before")
-
-
-def latest_by_key(spark: SparkSession, folder: str, schema: str, key: str, columns: list[str]) -> DataFrame:
-    """Deliveries in a folder, as a table of the last delivery of each key."""
-    rows = spark.read.schema(schema).parquet(folder)
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct("loaded_at", *columns)).alias("s")).select(key, "s.*")
