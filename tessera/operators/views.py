@@ -99,3 +99,21 @@ def headings(evidence: DataFrame, body: DataFrame, ratio: float = 1.15, longest:
 def joined_lines(text: Column) -> Column:
     """Hard-wrapped lines as one: a hyphen before a small letter takes no space, any other break is one."""
     return F.regexp_replace(F.regexp_replace(F.trim(text), "-[ \\t\\r]*\\n[ \\t\\r\\n]*([a-z])", "-$1"), "[ \\t\\r]*\\n[ \\t\\r\\n]*", " ")
+
+
+def file_metadata(sources: DataFrame) -> DataFrame:
+    """Title, revision, date and number that a file's name states."""
+    name = F.regexp_replace(F.element_at(F.split("rel_path", "/"), -1), "\\.[A-Za-z0-9]{1,5}$", "")
+    words = F.translate(name, "_", " ")
+    found = lambda p: F.nullif(F.regexp_extract(words, p, 1), F.lit(""))
+    return sources.where("rel_path IS NOT NULL").select(
+        "source_id", words.alias("title"), found("(?i)\\brev(?:ision)?[ .:-]*([A-Z]{1,2}[0-9]{0,2}|[0-9]{1,3}(?:\\.[0-9]{1,2})?)\\b").alias("revision"),
+        found("\\b([0-9]{4}-[0-9]{2}-[0-9]{2})\\b").alias("date"), found("\\b(SB-[0-9]{2,4})\\b").alias("number"))
+
+
+def coverage(sources: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Every source that is registered or referred to: in which of both it is, and with how many blocks."""
+    blocks = evidence.where("source_id IS NOT NULL").groupBy("source_id").agg(F.count(F.lit(1)).alias("blocks"))
+    both = sources.select("source_id", F.lit(True).alias("registered")).join(blocks, "source_id", "full_outer")
+    state = F.when(F.col("registered").isNull(), "unregistered").when(F.col("blocks").isNull(), "empty").otherwise("both")
+    return both.select("source_id", state.alias("state"), F.coalesce("blocks", F.lit(0).cast(LONG)).alias("blocks"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import quantities, references
-from tessera.plans import analysis_queries, register_queries, units_sql, view_queries  # noqa: F401  (registers its queries)
+from tessera.plans import analysis_queries, register_queries, units_sql  # noqa: F401  (registers its queries)
+from tessera.plans import view_queries  # noqa: F401  (after those it counts)
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as t
 from tessera.operators import classification, duplicates, register, standing, views
 from tessera.plans import sql
-from tessera.plans.register_queries import _KEYED, SQL, ev, nd, qty, query, src
+from tessera.plans.register_queries import _KEYED, QUERIES, SQL, ev, nd, qty, query, src
 from tessera.plans.session import table
+from tessera.sources import intake
+from tessera.streaming import deliveries
 
 Q = sql.quoted
 LONG = "bigint"
@@ -152,3 +154,62 @@ def snk_07(s: SparkSession, d: str) -> DataFrame:
     n = qty(s, d, "evidence_id").groupBy("evidence_id").agg(F.count(F.lit(1)).alias("quantities"))
     rows = ev(s, d, "source_id", "page_no", "seq", "block_type", "text").join(src(s, d, "rel_path"), "source_id").join(n, "evidence_id", "left")
     return rows.select("evidence_id", "rel_path", "page_no", "seq", "block_type", F.substring("text", 1, 200).alias("text"), F.coalesce("quantities", F.lit(0).cast(LONG)).alias("quantities"))
+
+
+_NAME = "translate(regexp_replace(string_split(rel_path, '/')[-1], '\\.[A-Za-z0-9]{1,5}$', ''), '_', ' ')"
+_NAMED = lambda p: f"nullif(regexp_extract({_NAME}, '{p}', 1), '')"
+
+
+@query("cls_06_file_metadata", f"SELECT source_id, {_NAME} AS title, " + _NAMED("(?i)\\brev(?:ision)?[ .:-]*([A-Z]{1,2}[0-9]{0,2}|[0-9]{1,3}(?:\\.[0-9]{1,2})?)\\b") + " AS revision, "
+       + _NAMED("\\b([0-9]{4}-[0-9]{2}-[0-9]{2})\\b") + " AS date, " + _NAMED("\\b(SB-[0-9]{2,4})\\b") + " AS number FROM src WHERE rel_path IS NOT NULL")
+def cls_06(s: SparkSession, d: str) -> DataFrame:
+    return views.file_metadata(src(s, d, "rel_path"))
+
+
+@query("jon_18_coverage", ", b AS (SELECT source_id, count(*) AS blocks FROM ev WHERE source_id IS NOT NULL GROUP BY 1) SELECT coalesce(src.source_id, b.source_id) AS source_id, CASE WHEN src.source_id IS NULL THEN 'unregistered' WHEN blocks IS NULL THEN 'empty' ELSE 'both' END AS state, "
+       "coalesce(blocks, 0) AS blocks FROM src FULL OUTER JOIN b ON b.source_id = src.source_id")
+def jon_18(s: SparkSession, d: str) -> DataFrame:
+    return views.coverage(src(s, d, "present"), ev(s, d, "source_id"))
+
+
+@query("win_02_canonical", "SELECT canonical_id, max(members) AS members, count(*) AS rows_ FROM (" + SQL["dup_01_exact_groups"] + ") GROUP BY 1")
+def win_02(s: SparkSession, d: str) -> DataFrame:
+    e = ev(s, d, "source_id", "page_no", "seq", "block_type", "status", "text", "section_heading", "equipment", "model")
+    groups = duplicates.exact_groups(duplicates.keyed(e, src(s, d, "is_repaired", "extraction_status")))
+    return groups.groupBy("canonical_id").agg(F.max("members").alias("members"), F.count(F.lit(1)).alias("rows_"))
+
+
+@query("jsn_01_records", "SELECT evidence_id, to_json({'evidence_id': evidence_id, 'page_no': coalesce(page_no, 0), 'seq': coalesce(seq, 0), 'source_id': coalesce(source_id, '')})::varchar AS record FROM ev")
+def jsn_01(s: SparkSession, d: str) -> DataFrame:
+    fields = F.struct("evidence_id", F.coalesce("page_no", F.lit(0)).alias("page_no"), F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("source_id", F.lit("")).alias("source_id"))
+    return ev(s, d, "source_id", "page_no", "seq").select("evidence_id", F.to_json(fields).alias("record"))
+
+
+@query("src_10_next_ids", ", top AS (SELECT max(try_cast(regexp_extract(source_id, '([0-9]+)$', 1) AS bigint)) AS m FROM src WHERE first_seen_at < TIMESTAMP '2025-07-01') SELECT rel_path, m + row_number() OVER (ORDER BY lower(rel_path), source_id) AS next_id FROM src, top WHERE first_seen_at >= TIMESTAMP '2025-07-01' AND rel_path IS NOT NULL")
+def src_10(s: SparkSession, d: str) -> DataFrame:
+    rows, cut = src(s, d, "rel_path", "first_seen_at"), F.lit("2025-07-01").cast("timestamp_ntz")
+    top = rows.where(F.col("first_seen_at") < cut).agg(F.max(F.regexp_extract("source_id", "([0-9]+)$", 1).try_cast(LONG))).first()[0]
+    new = rows.where((F.col("first_seen_at") >= cut) & F.col("rel_path").isNotNull()).select("source_id", "rel_path", F.lower("rel_path").alias("p"))
+    return intake.numbered(new, "p", "source_id", name="next_id", first=(top or 0) + 1).select("rel_path", "next_id")
+
+
+@query("str_03_once", "SELECT event_type, count(*) AS n FROM (SELECT DISTINCT event_id, event_type FROM events) GROUP BY 1")
+def str_03(s: SparkSession, d: str) -> DataFrame:
+    return deliveries.once(s, f"{d}/events.parquet", "event_id", "1 hour").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("str_05_pair_states", "SELECT pair_id, status FROM nd")
+def str_05(s: SparkSession, d: str) -> DataFrame:
+    return deliveries.upserted(s, f"{d}/near_duplicates.parquet", "pair_id", ["status"]).select("pair_id", "status")
+
+
+_TYPES = ("con_01_quantity_conflicts", "con_02_dual_units", "con_04_part_numbers", "con_06_procedure_lengths", "con_07_missing_warnings", "con_08_safety_pairs")
+
+
+@query("con_13_types", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n[7:]}' AS type, count(*) AS n FROM ({SQL[n]})" for n in _TYPES) + ")")
+def con_13(s: SparkSession, d: str) -> DataFrame:
+    parts = [QUERIES[n](s, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n[7:]).alias("type"), "n") for n in _TYPES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
