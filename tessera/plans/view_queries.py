@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
-from tessera.operators import classification, duplicates, register, standing, views
+from tessera.operators import classification, duplicates, extraction, register, standing, views
 from tessera.plans import sql
 from tessera.plans.register_queries import _KEYED, QUERIES, SQL, ev, nd, qty, query, src
 from tessera.plans.session import table
@@ -213,3 +213,22 @@ def con_13(s: SparkSession, d: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _extracted(s: SparkSession, d: str) -> DataFrame:
+    return extraction.extracted(ev(s, d, "text"))
+
+
+@query("unt_01_extracted")
+def unt_01(s: SparkSession, d: str) -> DataFrame:
+    return _extracted(s, d)
+
+
+@query("unt_07_by_parameter")
+def unt_07(s: SparkSession, d: str) -> DataFrame:
+    return _extracted(s, d).groupBy("parameter", "canonical_unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("canonical_value"), 6).alias("low"), F.round(F.max("canonical_value"), 6).alias("high"))
+
+
+@query("unt_08_restatements")
+def unt_08(s: SparkSession, d: str) -> DataFrame:
+    return extraction.restatements(_extracted(s, d))
