@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
+from tessera.operators.records import lookup_skewed
 from tessera.operators.register import numbered_over_pages
 from tessera.operators.standing import ADMONITIONS, DEDUPE, SAFETY
+from tessera.plans.workspace import Workspace
 
 # Patterns of what two statements must have in common to be merged.
 NEGATION = "(?iU)\\b(not|never|no|don't|do not|must not|shall not|without|nicht|kein|niemals)\\b"
@@ -44,9 +46,11 @@ def exact_groups(rows: DataFrame) -> DataFrame:
     same = ["hash", "topic", "applies"]
     safety = numbered_over_pages(rows.where(F.col("block_type").isin(*SAFETY)), *same)
     all_rows = rows.where(~F.col("block_type").isin(*SAFETY)).withColumn("nth", F.lit(0).cast("bigint")).unionByName(safety)
-    group = [*same, "nth"]
-    best = all_rows.groupBy(*group).agg(F.min(F.struct("rank", "source_id", "page_no", "seq", "evidence_id")).alias("best"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = all_rows.join(best.select(*group, F.col("best.evidence_id").alias("canonical_id"), "members"), group)
+    # One key per group; groups that hold a large part of all rows are looked up through a bounded broadcast.
+    held = Workspace(rows.sparkSession, "duplicates").save(
+        all_rows.withColumn("group", F.sha2(F.concat_ws("\u0001", *same, F.col("nth").cast("string")), 256)).select("group", "rank", "source_id", "page_no", "seq", "evidence_id"), "groups")
+    best = held.groupBy("group").agg(F.min(F.struct("rank", "source_id", "page_no", "seq", "evidence_id")).alias("best"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = lookup_skewed(held.select("group", "evidence_id"), best.select("group", F.col("best.evidence_id").alias("canonical_id"), "members"), "group", F.col("members"), held.count())
     return met.select("evidence_id", "canonical_id", F.when(F.col("evidence_id") == F.col("canonical_id"), "canonical").otherwise("exact_duplicate").alias("role"), "members")
 
 
