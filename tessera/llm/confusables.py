@@ -105,7 +105,7 @@ def from_icu(spark: SparkSession) -> Letters:
         return _made[0]
     try:
         made = _from_icu(spark._jvm)
-    except TypeError:  # no such class on the class path
+    except (TypeError, AttributeError):  # no such class on the class path, or no JVM at hand
         made = basic()
     _made.append(made)
     return made
