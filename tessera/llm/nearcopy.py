@@ -1,13 +1,14 @@
-"""Problem 6: near-duplicate statements, by a multi-index Hamming join of b-bit signatures.
+"""Problem 6: near-duplicate statements, by min-wise signatures whose keys grow with the table.
 
 A text is the set of its words as they look, the n-th occurrence of a word being an element of its
 own, so that twice the common elements over the sum of both sizes is the wanted similarity.  For
-each of two independent tables a min-wise signature of ``CHUNKS * WIDTH`` symbols of ``BITS`` bits is
-drawn from the set: in one all words weigh the same, so that what is found depends on the similarity
-alone, in the other common words weigh less, by counts over all different sets.
-The signature is split into chunks.  Two signatures that differ in no more than ``2 * CHUNKS - 1``
-symbols differ in at most one symbol of some chunk (pigeonhole), so each chunk is indexed with every
-single symbol left out, and every pair under that distance meets in at least one bucket.  Pairs that
+each of two independent tables min-wise symbols are drawn from the set: in one all words weigh the
+same, so that what is found depends on the similarity alone, in the other common words weigh less, by
+counts over all different sets.  A key is made of some symbols that no other key has, and texts that
+share a key meet in its bucket.  The longer the keys, the more of them a pair at the threshold needs,
+and the fewer texts meet that have nothing but everyday words in common.  How many would meet is
+estimated from some texts of the table, and the length of least work is taken: with one length for
+all tables the comparisons would grow as the square of the texts.  Pairs that
 meet are thinned without loss: each element flips one of 64 bits, so the bits in which two sets
 differ are never more than the elements in which they differ.  The rest is compared exactly.
 
@@ -15,9 +16,9 @@ Equal sets are one node.  Buckets that hold very many different texts (found on
 are cut into blocks, and every block meets every other and itself: the pairs found do not depend
 on the size of a bucket, and a hot bucket that is missed costs time, never pairs.
 
-The join is not exact: a pair over the threshold is missed where its signatures lie farther apart
-than the guarantee in both tables.  At similarity 0.85 the equal weights alone miss about one pair in
-forty, above it fewer; the README has recall measured against brute force.  Elements are 32-bit codes:
+The join is not exact: a pair over the threshold is missed where it shares no key in either table.
+At similarity 0.85 the equal weights alone miss about one pair in a hundred, whatever the length of
+the keys, above it fewer; the README has recall as measured.  Elements are 32-bit codes:
 two sets are taken to share a word that they don't with a probability of at most the product of their
 sizes over 2**32.
 
@@ -32,6 +33,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +46,20 @@ from tessera.operators.records import lookup_skewed, statements
 from tessera.plans.workspace import Workspace
 
 SIMILARITY = 0.85
-CHUNKS, WIDTH, BITS = 4, 5, 16
+#: The probability with which a pair exactly at the threshold is missed by the equal weights alone.
+MISSED = 0.01
+#: Symbols of a key; the longer, the more keys are needed.
+LENGTHS = range(4, 13)
+#: Work on an index row (drawn, shuffled, sorted) in comparisons.
+ROW_COST = 80
+#: Texts whose similarity says how long keys must be, and the agreement from which on a pair counts as wanted.
+PROBED, WANTED = 1024, 0.5
+#: Elements from which on a text is signed on its own; texts signed at once.
+LONG, ABREAST = 1024, 1024
 #: A word in more than this share of the texts is common; there are at most (mean words) / share of them.
 COMMON = 0.02
 #: Different texts in a bucket from which on it is split further.
-HOT_BUCKET = 2048
+HOT_BUCKET = 8192
 SAMPLE = 64
 
 _WORD = re.compile(r"[^\W_]+")
@@ -136,20 +147,28 @@ def _setter(by: Reader):
     return run
 
 
+def keys_for(length: int) -> int:
+    """So many independent keys of this length that a pair at the threshold shares none with a probability of ``MISSED`` at most."""
+    return int(np.ceil(np.log(MISSED) / np.log1p(-((SIMILARITY / (2.0 - SIMILARITY)) ** length))))
+
+
 class Signer:
-    """Signatures and index keys of element sets."""
+    """Signatures and index keys of element sets: ``keys_for(length)`` keys, each of ``length`` symbols of its own."""
 
-    def __init__(self, common: dict[int, float], rare: float, chunks: int = CHUNKS, width: int = WIDTH, table: int = 0):
+    def __init__(self, common: dict[int, float], rare: float, length: int = LENGTHS[0], table: int = 0):
         self.names = np.array(sorted(common), np.int32)
         self.weights = np.array([common[k] for k in self.names.tolist()], np.float64)
-        self.common, self.rare, self.chunks, self.width = common, rare, chunks, width
-        self.symbols = chunks * width
-        self.seeds = mix(np.arange(1 + table * self.symbols, 1 + (table + 1) * self.symbols, dtype=np.uint64) * _GOLD)
-        self.salts = mix(np.arange(1, 1 + chunks * width, dtype=np.uint64) * _M2).reshape(chunks, width)
+        self.common, self.rare, self.length, self.table, self.count = common, rare, length, table, keys_for(length)
+        # Tables draw from streams of their own, whatever their length.
+        self.seeds = mix((np.uint64(table) << np.uint64(32)) + np.arange(1, 1 + self.count * length, dtype=np.uint64) * _GOLD)
+        self.factors = mix(np.arange(1, 1 + length, dtype=np.uint64) * _M2) | np.uint64(1)
 
     def equal(self) -> Signer:
         """Equal weights, with other draws."""
-        return Signer({}, 1.0, self.chunks, self.width, 1)
+        return Signer({}, 1.0, self.length, 1)
+
+    def of_length(self, length: int) -> Signer:
+        return Signer(self.common, self.rare, length, self.table)
 
     def weight(self, element: np.ndarray) -> np.ndarray:
         if not len(self.names):
@@ -158,30 +177,57 @@ class Signer:
         return np.where(self.names[at] == element, self.weights[at], self.rare)
 
     def sign(self, element: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """(texts, symbols): for each symbol the element with the least exponential draw."""
+        """(texts, symbols): for each symbol the least exponential draw, which stands for its element."""
         known, place = np.unique(element, return_inverse=True)
-        code = known.view(np.uint32).astype(np.uint64)
-        draw = mix(code[:, None] * _GOLD ^ self.seeds[None, :])
+        draw = mix(known.view(np.uint32).astype(np.uint64)[:, None] * _GOLD ^ self.seeds[None, :])
         uniform = ((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-        race = (-np.log(uniform) / self.weight(known)[:, None]).astype(np.float32).view(np.uint32).astype(np.uint64)
-        race = (race << np.uint64(32)) | (mix(code + _M1) >> np.uint64(32))[:, None]
-        out = np.empty((len(ends) - 1, self.symbols), np.uint64)
-        step = 512
-        for a in range(0, len(out), step):
-            b = min(a + step, len(out))
-            out[a:b] = np.minimum.reduceat(race[place[ends[a]:ends[b]]], ends[a:b] - ends[a], axis=0)
-        return out & np.uint64(0xFFFFFFFF)
-
-    def _terms(self, signature: np.ndarray) -> np.ndarray:
-        part = signature.reshape(-1, self.chunks, self.width) & np.uint64((1 << BITS) - 1)
-        return mix((part + np.uint64(1)) * _GOLD ^ self.salts[None])
+        # Positive floats order as their bits do.
+        race = (-np.log(uniform) / self.weight(known)[:, None]).astype(np.float32).view(np.uint32)
+        size, out = np.diff(ends), np.empty((len(ends) - 1, len(self.seeds)), np.uint32)
+        order = np.argsort(-size, kind="stable")
+        long = int(np.count_nonzero(size > LONG))
+        for i in order[:long]:
+            parts = [race[place[a:min(a + LONG, ends[i + 1])]].min(axis=0) for a in range(ends[i], ends[i + 1], LONG)]
+            out[i] = np.min(parts, axis=0)
+        # Texts of like size side by side: the n-th elements of all of them at once.
+        drawn = np.empty((ABREAST, len(self.seeds)), np.uint32)
+        for a in range(long, len(order), ABREAST):
+            rows = order[a:a + ABREAST]
+            start, sizes = ends[rows], size[rows]
+            least = race[place[start]]
+            for n in range(1, int(sizes[0])):
+                m = int(np.searchsorted(-sizes, -n))
+                np.take(race, place[start[:m] + n], axis=0, out=drawn[:m], mode="clip")
+                np.minimum(least[:m], drawn[:m], out=least[:m])
+            out[rows] = least
+        return out
 
     def keys(self, signature: np.ndarray) -> np.ndarray:
-        """(texts, chunks * width): each chunk with each one of its symbols left out."""
-        terms = self._terms(signature)
-        left = terms.sum(axis=2, dtype=np.uint64)[:, :, None] - terms
-        slot = np.arange(self.chunks * self.width, dtype=np.uint64).reshape(1, self.chunks, self.width) + np.uint64(1)
-        return mix(left ^ slot * _M2).reshape(len(signature), -1).view(np.int64)
+        """(texts, keys): each key from symbols that no other key has."""
+        parts = signature.reshape(-1, self.count, self.length)
+        total = np.zeros(parts.shape[:2], np.uint64)
+        for n, factor in enumerate(self.factors):
+            total += (parts[:, :, n].astype(np.uint64) + np.uint64(1)) * factor
+        return mix(total ^ mix(np.arange(1, 1 + self.count, dtype=np.uint64) * _M1)[None, :]).view(np.int64)
+
+
+def agreeing(signature: np.ndarray) -> list[float]:
+    """For each of ``LENGTHS``, the share of pairs of texts that agree in so many independent symbols, without bias:
+    of a pair that agrees in ``m`` of ``n`` symbols, C(m, k) / C(n, k)."""
+    texts, symbols = signature.shape
+    same = np.zeros((texts, texts), np.uint16)
+    for column in signature.T:
+        same += column[:, None] == column[None, :]
+    met = np.bincount(same[np.triu_indices(texts, 1)], minlength=symbols + 1)
+    # Pairs that are wanted anyway are no reason for longer keys.
+    met[int(WANTED * symbols):] = 0
+    pairs = max(texts * (texts - 1) / 2, 1.0)
+    return [float(sum(c * comb(m, k) for m, c in enumerate(met.tolist())) / comb(symbols, k) / pairs) for k in LENGTHS]
+
+
+def cheapest_length(shares: list[float], texts: int) -> int:
+    """The key length of least work: a comparison for every two texts that agree in a key, ``ROW_COST`` for a row."""
+    return min(zip(LENGTHS, shares), key=lambda x: keys_for(x[0]) * (ROW_COST + x[1] * texts / 2))[0]
 
 
 def parities(element: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -204,9 +250,18 @@ def blocks(key: np.ndarray, bag: np.ndarray, many: np.ndarray) -> tuple[np.ndarr
 
 #: Index rows worked on at once.
 AT_ONCE = 400_000
+#: Rows from which on a bucket is worked on by itself, in squares of so many rows by ``ACROSS``.
+WIDE, ACROSS = 64, 4096
 INDEX = "key long, bag long, parity long, size int"
 
 
+def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of all sets, and where each set's begin (one more than sets)."""
+    lists = batch.column("elements")
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]].astype(np.int32, copy=False), ends - ends[0]
+
+
 def _indexer(signer: Signer, hot: dict[int, int]):
     heads = np.array(sorted(hot), np.int64)
     parts = np.array([hot[k] for k in heads.tolist()], np.int64)
@@ -215,10 +270,7 @@ def _indexer(signer: Signer, hot: dict[int, int]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column("elements")
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            element = lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]].astype(np.int32, copy=False)
-            ends = ends - ends[0]
+            element, ends = flat(batch)
             keys, bag = signer.keys(signer.sign(element, ends)), batch.column("bag").to_numpy()
             parity, size = parities(element, ends), np.diff(ends).astype(np.int32)
             row, key = np.repeat(np.arange(len(keys)), keys.shape[1]), keys.reshape(-1)
@@ -251,6 +303,29 @@ def corpus_signer(alone: DataFrame) -> Signer:
     return Signer({r["e"]: float(np.log(max(texts / r["n"], 1.0)) + 0.02) for r in common}, float(np.log(1 / COMMON) + 0.02))
 
 
+def _prober(signers: list[Signer]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                element, ends = flat(batch)
+                signed = [one.sign(element, ends) for one in signers]
+                yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in x], pa.binary()) for x in signed], names=[f"s{n}" for n in range(len(signed))])
+
+    return run
+
+
+def suited(alone: DataFrame, signers: list[Signer]) -> list[Signer]:
+    """The signers with keys as long as the number of texts and their usual similarity ask for."""
+    texts = alone.count()
+    some = alone.where(F.pmod("bag", F.lit(max(texts // PROBED, 1))) == 0)
+    schema = ", ".join(f"s{n} binary" for n in range(len(signers)))
+    rows = some.mapInArrow(_prober([one.of_length(LENGTHS[0]) for one in signers]), schema).limit(4 * PROBED).collect()
+    if len(rows) < 2:
+        return signers
+    drawn = [np.array([np.frombuffer(r[n], np.uint32) for r in rows]) for n in range(len(signers))]
+    return [one.of_length(cheapest_length(agreeing(x), texts)) for one, x in zip(signers, drawn)]
+
+
 def met_in_table(alone: DataFrame, signer: Signer) -> DataFrame:
     """Pairs (a, b), a < b, that share a bucket of one table and may reach the threshold."""
     some = alone.where(F.pmod("bag", F.lit(SAMPLE)) == 0).mapInArrow(_indexer(signer, {}), INDEX)
@@ -281,27 +356,19 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _within(key: np.ndarray, bag: np.ndarray, parity: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Every row against the rows after it in its bucket, all buckets at once: first neighbours, then
-    rows two apart, and so on.  No true pair fails: the differing bits and the difference of sizes are
-    at most the differing elements."""
+    """Every row against the rows after it in its bucket.  No true pair fails: the differing bits and
+    the difference of sizes are at most the differing elements."""
     if not len(key):
         return
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    ends = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
-    parity, row = parity.view(np.uint64), np.arange(len(key))
-    left, right, held, apart = [], [], 0, 1
-    while True:
-        row = row[ends[row] - row > apart]
-        if not len(row):
-            break
-        other = row + apart
+    parity, left, right, held = parity.view(np.uint64), [], [], 0
+    for row, other in _side_by_side(key, parity, size):
         na, nb = size[row], size[other]
         most = (1.0 - SIMILARITY) * (na + nb) + 1e-6
         close = (np.bitwise_count(parity[row] ^ parity[other]) <= most) & (np.abs(na - nb) <= most)
         a, b = bag[row[close]], bag[other[close]]
         left.append(np.minimum(a, b))
         right.append(np.maximum(a, b))
-        held, apart = held + len(a), apart + 1
+        held += len(a)
         if held > 1_000_000:
             yield _pairs(left, right)
             left, right, held = [], [], 0
@@ -309,6 +376,33 @@ def _within(key: np.ndarray, bag: np.ndarray, parity: np.ndarray, size: np.ndarr
         yield _pairs(left, right)
 
 
+def _side_by_side(key: np.ndarray, parity: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one bucket to compare.  Small buckets all at once: first neighbours, then rows two apart, and
+    so on.  Wide ones in squares, of which only rows are given out whose bits may be near enough."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    many = np.diff(np.append(starts, len(key)))
+    ends = np.repeat(starts + many, many)
+    row, apart = np.flatnonzero(np.repeat(many <= WIDE, many)), 1
+    while True:
+        row = row[ends[row] - row > apart]
+        if not len(row):
+            break
+        yield row, row + apart
+        apart += 1
+    # The larger set of a pair has at most (2 - s) / s times the elements of the smaller, so they differ in 2 (1 - s) / s times those of either at most.
+    bits = np.minimum(2.0 * (1.0 - SIMILARITY) / SIMILARITY * size + 1e-6, 64.0).astype(np.uint8)
+    for start, end in zip(starts[many > WIDE].tolist(), (starts + many)[many > WIDE].tolist()):
+        for a in range(start, end, WIDE):
+            b = min(a + WIDE, end)
+            for c in range(a, end, ACROSS):
+                d = min(c + ACROSS, end)
+                near = np.bitwise_count(parity[a:b, None] ^ parity[None, c:d]) <= bits[a:b, None]
+                row, other = np.divmod(np.flatnonzero(near), d - c)
+                row, other = row + a, other + c
+                after = other > row
+                yield row[after], other[after]
+
+
 def _pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
     """Different pairs, once each."""
     a, b = np.concatenate(left), np.concatenate(right)
@@ -321,7 +415,7 @@ def _pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
 def near_bags(alone: DataFrame, signer: Signer, ws: Workspace) -> DataFrame:
     """Pairs (a, b) of bag ids, a < b, whose sets reach the threshold."""
     # One table after the other, so that only one index is on disk at a time.
-    met = [ws.save(met_in_table(alone, one).distinct(), "met") for one in (signer.equal(), signer)]
+    met = [ws.save(met_in_table(alone, one).distinct(), "met") for one in suited(alone, [signer.equal(), signer])]
     pairs = ws.save(reduce(DataFrame.unionByName, met).distinct(), "pairs")
     for one in met:
         ws.drop(one)

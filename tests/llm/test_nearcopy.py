@@ -71,6 +71,59 @@ def test_buckets_over_several_batches():
     assert got == {(i, j) for i in range(400) for j in range(i + 1, 400) if key[i] == key[j]}
 
 
+def test_wide_buckets_are_compared_as_small_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    key, size = np.repeat(np.arange(4), [300, 2, 90, 65]), rng.integers(5, 60, 457).astype(np.int32)
+    parity, bag = (np.int64(1) << rng.integers(0, 12, 457)) ^ (np.int64(1) << rng.integers(0, 12, 457)), rng.permutation(457)
+    monkeypatch.setattr(nearcopy, "ACROSS", 70)
+    got = []
+    for wide in (nearcopy.WIDE, 1000):
+        monkeypatch.setattr(nearcopy, "WIDE", wide)
+        got.append([p for out in nearcopy._within(key, bag, parity, size) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist())])
+    assert len(got[0]) > 1000 and sorted(got[0]) == sorted(got[1])
+
+
+def flat(sets) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([x for s in sets for x in sorted(s)], np.int32), np.cumsum([0, *map(len, sets)])
+
+
+def test_signatures_do_not_depend_on_other_texts():
+    rng = np.random.default_rng(5)
+    sets = [set(rng.integers(0, 5000, n).tolist()) for n in (3, 40, 3000, 1, 1500, 40)]
+    signer = nearcopy.Signer({7: 0.1}, 4.0, 5)
+    together = signer.sign(*flat(sets))
+    assert together.shape == (6, 5 * nearcopy.keys_for(5)) and len(np.unique(together)) > 200
+    assert all((signer.sign(*flat([s]))[0] == together[n]).all() for n, s in enumerate(sets))
+
+
+def alike(texts: int) -> list[set[int]]:
+    """Sets of 30 of 40 common elements and ten rare ones: any two are alike, none are near."""
+    rng = np.random.default_rng(6)
+    common = np.argsort(rng.random((texts, 40)), axis=1)[:, :30] + 1
+    return [set(x) for x in np.hstack([common, rng.integers(10**6, 2 * 10**9, (texts, 10))]).tolist()]
+
+
+def test_comparisons_of_a_text_grow_far_slower_than_the_table(spark):
+    """Keys of one length for all tables make them grow as the table does."""
+    each = []
+    for texts in (2_000, 32_000):
+        sets = alike(texts)
+        bag = np.random.default_rng(7).permutation(texts).tolist()
+        alone = spark.createDataFrame([(b, list(s)) for b, s in zip(bag, sets)], "bag long, elements array<int>")
+        signer = nearcopy.suited(alone, [nearcopy.Signer({}, 1.0, table=1)])[0]
+        n = np.unique(signer.keys(signer.sign(*flat(sets))), return_counts=True)[1]
+        each.append(int((n * (n - 1) // 2).sum()) / texts)
+    assert each[1] < 8 * each[0]
+
+
+def test_key_lengths_miss_no_more():
+    p = nearcopy.SIMILARITY / (2 - nearcopy.SIMILARITY)
+    assert all((1 - p**k) ** nearcopy.keys_for(k) <= nearcopy.MISSED for k in nearcopy.LENGTHS)
+    shares = [0.13**k for k in nearcopy.LENGTHS]
+    lengths = [nearcopy.cheapest_length(shares, n) for n in (10**4, 10**7, 10**9)]
+    assert lengths == sorted(set(lengths))
+
+
 def test_weights_do_not_depend_on_partitions(spark):
     rows = [(k % 5, 3, [1, 2, 3 + k % 5]) for k in range(40)]
     weights = []
